@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokens
+from . import packing, simhash, tokens
 from .shared import new_folder, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -21,13 +21,18 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"), radius=2, shingle=3)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op9_vector_packing)
+    f.__name__: f for f in (op1_token_files, op3_simhash_groups, op9_vector_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
