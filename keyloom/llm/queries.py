@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, simhash, substrings, tokens
+from . import languages, packing, quality, simhash, substrings, tokens
 from .shared import new_folder, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,18 +26,37 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    wanted = ["doc_id", *quality.FIGURES, "base_failed", "kept", "quality"]
+    return quality.scored(docs, model, columns=["doc_id"]).select(*wanted)
+
+
 def op6_window_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove(table(spark, sf_dir, "documents").select("doc_id", "text"), width=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = languages.train(docs.where(_remainder(5) != 0))
+    found = languages.predicted(docs.select("doc_id", "text"), model, columns=["doc_id"])
+    return found.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op3_simhash_groups, op6_window_removal, op9_vector_packing)
+    f.__name__: f for f in (op1_token_files, op3_simhash_groups, op5_quality_model, op6_window_removal, op7_language_spans, op9_vector_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {
