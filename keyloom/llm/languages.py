@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import with_fields
 from .textbatch import TextBatch, mixed, slices
 
 SAMPLE, SWITCH, BITS = 400, 6.0, 17
@@ -245,5 +246,4 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", columns: li
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, n) for c in record.columns[:-1]), pa.array(languages[lang], pa.string()), pa.array(score), pa.array(spans, kind)], [*names, "lang_pred", "score", "spans"])
 
     rows = docs.select(*(docs[f"`{c}`"] for c in names), docs[f"`{text_col}`"].alias("_keyloom_text"))
-    schema = docs.select(*(docs[f"`{c}`"] for c in names), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.array(F.struct(F.lit("").alias("lang"), F.lit(0).alias("first"), F.lit(0).alias("last"))).alias("spans")).schema
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, with_fields(docs, names, "lang_pred string, score double, spans array<struct<lang:string,first:int,last:int>>"))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import Logistic, fit, vectors
+from .shared import with_fields
 from .textbatch import SPACE, TextBatch, batches, mixed, rolling
 
 REPEAT, MIN_WORDS, MAX_REPEATED = 8, 20, 30
@@ -133,8 +134,5 @@ def scored(docs: DataFrame, model: Logistic | None, text_col: str = "text", thre
                 )
 
     kept = docs.select(*(docs[f"`{c}`"] for c in names), docs[f"`{text_col}`"].alias("_keyloom_text"))
-    types = [f"{k} long" for k in FIGURES] + ["base_failed boolean", "quality double", "kept boolean"]
-    schema = docs.select(*(docs[f"`{c}`"] for c in names)).schema
-    for t in types:
-        schema = schema.add(t.split()[0], t.split()[1])
-    return kept.mapInArrow(run, schema)
+    figures_added = ", ".join(f"{k} long" for k in FIGURES)
+    return kept.mapInArrow(run, with_fields(docs, names, f"{figures_added}, base_failed boolean, quality double, kept boolean"))

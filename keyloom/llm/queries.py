@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, packing, quality, simhash, substrings, tokens
+from . import languages, packing, quality, simhash, substrings, tokens, toxicity
 from .shared import new_folder, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -38,9 +38,9 @@ def op6_window_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
-def _remainder(n: int):
+def _remainder(n: int, id_col: Column | str = "doc_id") -> Column:
     """crc32 of the id as text, modulo n."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    return F.crc32((F.col(id_col) if isinstance(id_col, str) else id_col).cast("string").cast("binary")) % n
 
 
 def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,13 +50,20 @@ def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op8_toxic_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), where=lambda doc_id: _remainder(3, doc_id) != 1)
+    found = toxicity.scored(docs, model, columns=["doc_id"])
+    return found.select("doc_id", F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", F.size("clauses").alias("n_clauses"))
+
+
 def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, END_ID)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op3_simhash_groups, op5_quality_model, op6_window_removal, op7_language_spans, op9_vector_packing)
+    f.__name__: f for f in (op1_token_files, op3_simhash_groups, op5_quality_model, op6_window_removal, op7_language_spans, op8_toxic_clauses, op9_vector_packing)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -9,6 +9,7 @@ import uuid
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,3 +56,8 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     path = f"{new_folder(df.sparkSession, kind)}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_fields(df: DataFrame, columns: list[str], added: str) -> StructType:
+    """The schema of some columns of a table and of added ones ("name type, ...")."""
+    return StructType([*df.select(*(df[f"`{c}`"] for c in columns)).schema, *StructType.fromDDL(added)])
