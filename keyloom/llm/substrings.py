@@ -30,6 +30,7 @@ Other columns are kept by ``remove`` as they are.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,16 +66,20 @@ def cells_of(one: np.ndarray, cells: int) -> list[np.ndarray]:
 
 
 def coded(sorted_cells: np.ndarray) -> bytes:
-    """Ascending distinct cells of a chunk by their distances: a byte each, 255 and four bytes for a longer one."""
+    """Ascending distinct cells of a chunk by their distances: low bytes, Huffman-coded high bytes, long distances apart."""
     gaps = np.diff(sorted_cells.astype(np.int64), prepend=-1)
-    long = gaps[gaps >= 255].astype("<u4")
-    return np.uint32(len(long)).tobytes() + long.tobytes() + np.minimum(gaps, 255).astype(np.uint8).tobytes()
+    long = gaps[gaps >= 255 << 8].astype("<u4")
+    gaps = np.minimum(gaps, 255 << 8)
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    high = coder.compress((gaps >> 8).astype(np.uint8).tobytes()) + coder.flush()
+    return np.array([len(gaps), len(long)], "<u4").tobytes() + long.tobytes() + (gaps & 255).astype(np.uint8).tobytes() + high
 
 
 def decoded(data: bytes) -> np.ndarray:
-    n = int(np.frombuffer(data, "<u4", 1)[0])
-    gaps = np.frombuffer(data, np.uint8, offset=4 + 4 * n).astype(np.int64)
-    gaps[gaps == 255] = np.frombuffer(data, "<u4", n, 4)
+    n, n_long = np.frombuffer(data, "<u4", 2).tolist()
+    at = 8 + 4 * n_long
+    gaps = np.frombuffer(data, np.uint8, n, at) + (np.frombuffer(zlib.decompress(data[at + n :], -15), np.uint8).astype(np.int64) << 8)
+    gaps[gaps == 255 << 8] = np.frombuffer(data, "<u4", n_long, 8)
     return np.cumsum(gaps) - 1
 
 
@@ -197,8 +202,13 @@ def _selector(path: str):
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows with the columns that order them; places are ``(tie << 32) + first word``."""
-    tie = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).bitwiseAND(0x7FFFFFFF)
+    """The rows with the columns that order them; places are ``(tie << 32) + first word``.
+
+    The tie is a hash of the text where ids repeat, else 0.
+    """
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"))
+    unique = ids.groupBy("id").count().where("count > 1").isEmpty()
+    tie = F.lit(0).cast("long") if unique else F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).bitwiseAND(0x7FFFFFFF)
     return docs.withColumns({"_keyloom_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_keyloom_tie": tie})
 
 
@@ -221,6 +231,7 @@ def first_places(keyed: DataFrame, text_col: str, width: int, path: str, cells:
                 yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (one, two, doc, place)], ["one", "two", "doc", "place"])
 
     rows = keyed.select("_keyloom_id", "_keyloom_tie", text_col).mapInArrow(run, "one long, two int, doc long, place long")
+    rows = rows.repartition("one", "two")  # batches have one row for each hash: a second combining would only delay the exchange
     rank = F.row_number().over(Window.partitionBy("one", "two").orderBy("doc", "place"))
     firsts = rows.withColumn("rank", rank).where("rank = 1")
     places = F.collect_list(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int"))

@@ -218,7 +218,7 @@ def lexicon(sets: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.n
         usable = (odds > 2) & (against <= 0.01 * len(clean))
         order = np.argsort(at, kind="stable")
         docs_of = np.split(of[order], np.searchsorted(at[order], np.arange(1, len(keys))))
-        for most, least in ((1, 2), (2, max(5, len(toxic) // 50))):
+        for most, least in ((1, max(2, len(toxic) // 100)), (2, max(5, len(toxic) // 50))):
             covered = np.zeros(len(toxic), int)
             for k in np.flatnonzero(np.isin(keys, np.array([*known], np.uint64))):
                 covered[docs_of[k]] += 1
