@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import languages, packing, quality, simhash, substrings, tokens, toxicity
+from . import languages, licenses, mixing, packing, quality, simhash, substrings, tokens, toxicity
 from .shared import new_folder, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 2
+#: Target weights of the mixture: two sources by name, the others in proportion.
+WEIGHTS, SEED = {"src0": 0.2, "src1": 0.1}, 17
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,10 @@ def op3_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), WEIGHTS, seed=SEED)
+
+
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -62,11 +68,36 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
 
 
+def op10_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_files, op3_simhash_groups, op5_quality_model, op6_window_removal, op7_language_spans, op8_toxic_clauses, op9_vector_packing)
+    f.__name__: f
+    for f in (
+        op1_token_files,
+        op3_simhash_groups,
+        op4_poisson_mix,
+        op5_quality_model,
+        op6_window_removal,
+        op7_language_spans,
+        op8_toxic_clauses,
+        op9_vector_packing,
+        op10_license_spans,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_poisson_mix": f"""
+        WITH s AS (SELECT source, count(*) AS n, CASE source WHEN 'src0' THEN {WEIGHTS['src0']} WHEN 'src1' THEN {WEIGHTS['src1']} END AS named FROM documents GROUP BY source),
+        t AS (SELECT sum(n)::DOUBLE AS every, sum(n) FILTER (named IS NULL)::DOUBLE AS rest FROM s),
+        r AS (SELECT source, every * coalesce(named, {1 - sum(WEIGHTS.values())} * n / rest) / n AS rate FROM s, t),
+        p AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below
+              FROM (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT)) AS k FROM r)),
+        u AS (SELECT *, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+        c AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, (SELECT count(*) FROM p WHERE p.source IS NOT DISTINCT FROM u.source AND p.below <= u.u) AS n FROM u)
+        SELECT doc_id, text, lang, source, n_chars, unnest(range(0, n))::INTEGER AS copy FROM c WHERE n > 0
+    """,
     "op6_window_removal": """
         WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
         w AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS s, ws FROM d WHERE len(ws) >= 20),
