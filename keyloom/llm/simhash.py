@@ -18,6 +18,12 @@ Components of the forests come from rounds of joins (:mod:`.components`).
 Exact copies share a fingerprint and meet in a grouped count before the search,
 so a group of copies of any size is one point.
 
+Near copies by similarity.  At 64 bits, five-word shingle sets of Jaccard
+similarity 0.8 differ in up to 14 bits, where the distances of unrelated
+fingerprints (32 with deviation 4) leave triangle bounds nothing to prune.  So
+``keep_one`` takes its links within ``radius`` from the trees, and those of
+similarity 0.8 beyond it from min-wise bands, compared on the whole sets.
+
 Defined results: null text and text without words link like any other
 fingerprint zero; rows with a null doc_id get the component of their
 fingerprint, which is null if no row of it has an id; repeated rows are kept;
@@ -32,44 +38,74 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut
-from .textbatch import utf8
+from .shared import cut, written
+from .textbatch import mixed, utf8
 
 NULL_ID = -(1 << 63)
 #: Distinct fingerprints that the top tree is built from at most; a shard takes about SHARD of them.
 SAMPLE, SHARD, LEAF = 32_768, 4_096, 256
+BANDS, ROWS = 24, 4
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each run of words, repeats included; of all words if there are fewer; none without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(line, 42)]
-    else:
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a : b - 1], 42) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return np.array([xxhash.xxh64_intdigest(line, 42)], np.uint64)
+    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a : b - 1], 42) for a, b in zip([0, *ends], ends[shingle - 1 :], strict=False)], np.uint64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """Each bit is set if it is set in over half the hashes."""
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     over = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
     return int(np.packbits(over, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key (a hash of the text), fp (the fingerprint as a signed 64-bit integer) for each row."""
+_ODD = mixed(np.arange(2 * BANDS * ROWS, dtype=np.uint64), 77) | np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """BANDS hashes, each of ROWS min-wise values: two sets of similarity s share one with probability 1 - (1 - s**ROWS)**BANDS."""
+    if not len(hashes):
+        return np.zeros(BANDS, np.int64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        some = hashes[at : at + 4096, None] * _ODD[: BANDS * ROWS] + _ODD[BANDS * ROWS :]
+        np.minimum(least, some.min(axis=0), out=least)
+    keys = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        keys = mixed(keys ^ column)
+    return keys.view(np.int64)
+
+
+def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", bands: bool = False) -> DataFrame:
+    """doc_id, text_key (a hash of the text), fp (the fingerprint as a signed 64-bit integer), bands (keys, if asked for)."""
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            fps = np.array([fingerprint(t, shingle) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps)], ["doc_id", "text_key", "fp"])
+            fps, keys = np.zeros(len(batch), np.uint64), []
+            for i, text in enumerate(utf8(batch.column(1))):
+                hashes = shingle_hashes(text, shingle)
+                fps[i] = fingerprint(hashes)
+                keys.append(band_keys(hashes) if bands else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "fp", "bands"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, fp long, bands array<long>")
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, fp long")
+def _text_key(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -165,30 +201,65 @@ def linked(points: DataFrame, radius: int) -> DataFrame:
     return points.mapInArrow(deal, "shard long, fp long, home boolean").groupBy("shard").applyInArrow(search, "a long, b long")
 
 
-def _grouped(docs: DataFrame, radius: int, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, text_key, fp), and for each distinct fp its group's root and component_id."""
-    rows = cut(fingerprints(docs, shingle, id_col, text_col))
+def near_groups(docs: DataFrame, radius: int = 3, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable) for each row."""
+    rows = cut(fingerprints(docs, shingle, id_col, text_col).drop("bands"))
     points = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(linked(points.select("fp"), radius))
     member = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return rows, member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    named = member.join(member.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    return rows.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_groups(docs: DataFrame, radius: int = 3, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable) for each row."""
-    rows, named = _grouped(docs, radius, shingle, id_col, text_col)
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+def similar(docs: DataFrame, texts: DataFrame, similarity: float, shingle: int, text_col: str) -> DataFrame:
+    """Links (a, b) of text keys whose shingle sets have at least this Jaccard similarity.
+
+    Candidates are each text and the least text key of every bucket of a band that it is in; the sets
+    of the candidates are compared whole.
+    """
+    banded = cut(texts.select("text_key", F.explode("bands").alias("band")))
+    least = banded.groupBy("band").agg(F.min("text_key").alias("b"))
+    pairs = cut(banded.join(least, "band").where("text_key != b").select(F.col("text_key").alias("a"), "b").distinct())
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("text_key")
+
+    def sets(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            own = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["text_key", "hashes"])
+
+    def compare(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    keyed = docs.select(_text_key(text_col).alias("text_key"), F.col(text_col).alias("text")).join(wanted, "text_key", "left_semi")
+    hashes = written(keyed.mapInArrow(sets, "text_key long, hashes binary").dropDuplicates(["text_key"]), "shingles")
+    both = pairs.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(compare, "a long, b long")
 
 
-def keep_one(docs: DataFrame, radius: int = 3, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input's columns, for one row of each group: that of the smallest doc_id, then of the least text hash.
+def keep_one(docs: DataFrame, radius: int = 3, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input's columns, for one row of each group of near copies: that of the smallest doc_id, then of the least text hash.
 
-    A row with a null doc_id stays only where its group has no id at all.
+    Texts are linked if their fingerprints are within the radius, or if their shingle sets have the
+    similarity.  A row with a null doc_id stays only where its group has no id at all.
     """
-    rows, named = _grouped(docs, radius, shingle, id_col, text_col)
-    best = rows.join(named, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("best"))
-    best = best.select(F.coalesce("best.doc_id", F.lit(NULL_ID)).alias("_keyloom_id"), F.col("best.text_key").alias("_keyloom_text"))
-    keyed = docs.withColumns({"_keyloom_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_keyloom_text": F.xxhash64(text_col)})
+    rows = cut(fingerprints(docs, shingle, id_col, text_col, bands=True))
+    texts = rows.groupBy("text_key").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.min("bands").alias("bands"))
+    texts = cut(texts)
+    points = texts.groupBy("fp").agg(F.min("text_key").alias("text_key"))
+    near = linked(points.select("fp"), radius)
+    near = near.join(points.toDF("a", "ka"), "a").join(points.toDF("b", "kb"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
+    same = texts.join(points.toDF("fp", "b"), "fp").where("text_key != b").select(F.col("text_key").alias("a"), "b")
+    roots = components(near.union(same).union(similar(docs, texts, similarity, shingle, text_col)))
+    member = texts.join(roots, texts.text_key == roots.node, "left").select("text_key", "least", F.coalesce("root", "text_key").alias("root"))
+    best = member.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "text_key")).alias("best"))
+    best = best.select(F.coalesce("best.least", F.lit(NULL_ID)).alias("_keyloom_id"), F.col("best.text_key").alias("_keyloom_text"))
+    keyed = docs.withColumns({"_keyloom_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_keyloom_text": _text_key(text_col)})
     kept = keyed.join(best, ["_keyloom_id", "_keyloom_text"], "left_semi")
     number = F.row_number().over(Window.partitionBy("_keyloom_id", "_keyloom_text").orderBy(F.lit(1)))
     return kept.withColumn("_keyloom_row", number).where("_keyloom_row = 1").select(*(kept[f"`{c}`"] for c in docs.columns))
