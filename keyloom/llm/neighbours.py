@@ -12,7 +12,9 @@ Search.  Queries meet each block in cells of at most ``CHUNK`` queries and about
 ``BLOCK`` vectors.  A query's inner products with the centres are tables of 16; two
 make one of 256 for a byte of codes, and the sum of lookups estimates all inner
 products of the block.  The ``RERANK`` best of each block are computed exactly, in
-double precision from the original vectors, and the best of all blocks stay.
+double precision from the original vectors; where others' estimates lie within the
+errors seen of the last of the best, as among thousands of near copies, they are
+computed too.  The best of all blocks stay.
 
 Equal vectors are one point of the index with their least ids (one more than are
 asked for), and equal queries are searched once, so a vector that holds a third of
@@ -132,6 +134,11 @@ def best_in_block(codes: np.ndarray, x: np.ndarray, ids: np.ndarray, q: np.ndarr
                     guess += table[b][columns[b]]
                 some = np.argpartition(guess, len(x) - RERANK)[len(x) - RERANK :]
             exact = x[some] @ query
+            if len(x) > RERANK:  # whatever may still be among the best, by the errors seen so far
+                least = np.partition(exact, RERANK - keep)[RERANK - keep]
+                more = np.flatnonzero(guess >= least - (exact - guess[some]).max())
+                if len(more) > RERANK:
+                    some, exact = more, x[more] @ query
             order = np.lexsort((ids[some], -exact))[:keep]
             yield some[order], exact[order]
 
