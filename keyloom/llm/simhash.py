@@ -22,7 +22,9 @@ Near copies by similarity.  At 64 bits, five-word shingle sets of Jaccard
 similarity 0.8 differ in up to 14 bits, where the distances of unrelated
 fingerprints (32 with deviation 4) leave triangle bounds nothing to prune.  So
 ``keep_one`` takes its links within ``radius`` from the trees, and those of
-similarity 0.8 beyond it from min-wise bands, compared on the whole sets.
+similarity 0.8 beyond it from min-wise bands, compared on the whole sets: first
+each text with the least text of each of its buckets, then all pairs of texts that
+share a bucket and are not yet connected, in groups of bounded size.
 
 Defined results: null text and text without words link like any other
 fingerprint zero; rows with a null doc_id get the component of their
@@ -49,6 +51,8 @@ NULL_ID = -(1 << 63)
 #: Distinct fingerprints that the top tree is built from at most; a shard takes about SHARD of them.
 SAMPLE, SHARD, LEAF = 32_768, 4_096, 256
 BANDS, ROWS = 24, 4
+#: Texts, and hashes of their shingle sets, that a block of a group of candidates has at most (about).
+BLOCK, BLOCK_HASHES = 1_024, 1 << 20
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -211,21 +215,28 @@ def near_groups(docs: DataFrame, radius: int = 3, shingle: int = 5, id_col: str
     return rows.join(named.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def similar(docs: DataFrame, texts: DataFrame, similarity: float, shingle: int, text_col: str) -> DataFrame:
-    """Links (a, b) of text keys whose shingle sets have at least this Jaccard similarity.
+def banded(texts: DataFrame) -> DataFrame:
+    """text_key and band for each bucket that a text is in."""
+    return cut(texts.select("text_key", F.explode("bands").alias("band")).distinct())
 
-    Candidates are each text and the least text key of every bucket of a band that it is in; the sets
-    of the candidates are compared whole.
-    """
-    banded = cut(texts.select("text_key", F.explode("bands").alias("band")))
-    least = banded.groupBy("band").agg(F.min("text_key").alias("b"))
-    pairs = cut(banded.join(least, "band").where("text_key != b").select(F.col("text_key").alias("a"), "b").distinct())
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("text_key")
+
+def shingle_sets(docs: DataFrame, buckets: DataFrame, shingle: int, text_col: str) -> DataFrame:
+    """text_key, n, hashes (the shingle set) of the texts that share a bucket with another."""
+    wanted = buckets.join(buckets.groupBy("band").count().where("count > 1"), "band", "left_semi").select("text_key").distinct()
 
     def sets(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            own = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], ["text_key", "hashes"])
+            own = [np.unique(shingle_hashes(t, shingle)) for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["text_key", "n", "hashes"])
+
+    keyed = docs.select(_text_key(text_col).alias("text_key"), F.col(text_col).alias("text")).join(wanted, "text_key", "left_semi")
+    return written(keyed.mapInArrow(sets, "text_key long, n long, hashes binary").dropDuplicates(["text_key"]), "shingles")
+
+
+def similar(buckets: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of text keys, of each text and the least text of each of its buckets, whose shingle sets have at least this Jaccard similarity."""
+    least = buckets.groupBy("band").agg(F.min("text_key").alias("b"))
+    pairs = cut(buckets.join(least, "band").where("text_key != b").select(F.col("text_key").alias("a"), "b").distinct())
 
     def compare(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
@@ -236,10 +247,66 @@ def similar(docs: DataFrame, texts: DataFrame, similarity: float, shingle: int,
                 keep.append(both >= similarity * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    keyed = docs.select(_text_key(text_col).alias("text_key"), F.col(text_col).alias("text")).join(wanted, "text_key", "left_semi")
-    hashes = written(keyed.mapInArrow(sets, "text_key long, hashes binary").dropDuplicates(["text_key"]), "shingles")
-    both = pairs.join(hashes.toDF("a", "x"), "a").join(hashes.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(compare, "a long, b long")
+    x, y = hashes.select("text_key", "hashes").toDF("a", "x"), hashes.select("text_key", "hashes").toDF("b", "y")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+
+
+def joined_sets(sets: list[np.ndarray], root: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Indexes of pairs of left and right texts with this Jaccard similarity that connect what root leaves apart: a spanning forest of them."""
+    size = np.array([len(x) for x in sets])
+    flat, of = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), size)
+    _, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = count[number] > 1  # a hash of one text is in no intersection
+    number, of = number[shared], of[shared]
+    first = np.searchsorted(of, np.arange(len(sets) + 1))
+    order = np.argsort(number, kind="stable")
+    begin = np.searchsorted(number[order], np.arange(len(count) + 1))
+    texts_of = of[order]
+    root, is_right, links = np.unique(root, return_inverse=True)[1], np.zeros(len(sets), bool), []
+    is_right[right] = True
+    for i in left.tolist():
+        if not (is_right & (root != root[i])).any():
+            continue
+        own = number[first[i] : first[i + 1]]
+        long = begin[own + 1] - begin[own]
+        at = np.arange(long.sum()) + np.repeat(begin[own] - np.cumsum(long) + long, long)
+        both = np.bincount(texts_of[at], minlength=len(sets))
+        for j in np.flatnonzero(is_right & (root != root[i]) & (both >= similarity * (size[i] + size - both))).tolist():
+            if root[i] != root[j]:
+                links.append((i, j))
+                root[root == root[j]] = root[i]
+    return links
+
+
+def remaining(buckets: DataFrame, hashes: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect, beyond roots, all texts that share a bucket and have this Jaccard similarity.
+
+    Only buckets that roots leaves in several parts count.  Texts that such buckets connect make a
+    group, or each bucket is one if they are too many for a block; a greater group is dealt into
+    blocks, and each pair of blocks is compared in a task, so no task grows with the group.
+    """
+    tagged = buckets.join(roots, buckets.text_key == roots.node, "left").select("text_key", "band", F.coalesce("root", "text_key").alias("root"))
+    parted = tagged.groupBy("band").agg(F.min("text_key").alias("least"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+    rows = cut(tagged.join(parted.select("band", "least"), "band").join(hashes.select("text_key", "n"), "text_key"))
+    near = components(rows.select(F.col("text_key").alias("a"), F.col("least").alias("b")))
+    rows = rows.join(near.toDF("text_key", "cluster"), "text_key", "left").withColumn("cluster", F.coalesce("cluster", "text_key"))
+    whole = rows.select("text_key", "root", "n", "cluster").distinct()
+    fits = whole.groupBy("cluster").agg((F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_HASHES) <= 1).alias("fits"))
+    rows = rows.join(fits, "cluster").select("text_key", "root", "n", F.when(F.col("fits"), F.struct(F.lit(0).alias("kind"), F.col("cluster").alias("key"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("band").alias("key"))).alias("unit")).distinct()
+    rows = cut(rows)
+    blocks = rows.groupBy("unit").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_HASHES)).cast("int").alias("blocks"))
+    dealt_to = rows.join(blocks, "unit").withColumn("own", F.pmod(F.xxhash64("text_key", F.lit(5)), "blocks").cast("int"))
+    dealt_to = dealt_to.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt_to = dealt_to.select("unit", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "text_key", "root")
+
+    def search(group: pa.Table) -> pa.Table:
+        key, own = group.column("text_key").to_numpy(), group.column("own").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("hashes")]
+        low, high = group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        links = joined_sets(sets, group.column("root").to_numpy(), np.flatnonzero(own == low), np.flatnonzero(own == high), similarity)
+        return pa.table({"a": pa.array([key[i] for i, _ in links], pa.int64()), "b": pa.array([key[j] for _, j in links], pa.int64())})
+
+    return dealt_to.join(hashes.select("text_key", "hashes"), "text_key").groupBy("unit", "low", "high").applyInArrow(search, "a long, b long")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,7 +322,10 @@ def keep_one(docs: DataFrame, radius: int = 3, similarity: float = 0.8, shingle:
     near = linked(points.select("fp"), radius)
     near = near.join(points.toDF("a", "ka"), "a").join(points.toDF("b", "kb"), "b").select(F.col("ka").alias("a"), F.col("kb").alias("b"))
     same = texts.join(points.toDF("fp", "b"), "fp").where("text_key != b").select(F.col("text_key").alias("a"), "b")
-    roots = components(near.union(same).union(similar(docs, texts, similarity, shingle, text_col)))
+    buckets = banded(texts)
+    hashes = shingle_sets(docs, buckets, shingle, text_col)
+    roots = components(near.union(same).union(similar(buckets, hashes, similarity)))
+    roots = components(roots.toDF("a", "b").union(remaining(buckets, hashes, roots, similarity)))
     member = texts.join(roots, texts.text_key == roots.node, "left").select("text_key", "least", F.coalesce("root", "text_key").alias("root"))
     best = member.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least", "text_key")).alias("best"))
     best = best.select(F.coalesce("best.least", F.lit(NULL_ID)).alias("_keyloom_id"), F.col("best.text_key").alias("_keyloom_text"))

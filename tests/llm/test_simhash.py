@@ -123,3 +123,22 @@ def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, brute_fingerprint(r.text, 3)) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     got = queries.op3_simhash_groups(spark, sf).orderBy("doc_id").collect()
     assert [(r.doc_id, r.fingerprint, r.component_id) for r in got] == [(d, f"{f:016x}", c) for (d, f), c in zip(rows, brute_groups(rows, 2), strict=True)]
+
+
+def test_links_of_a_boilerplate_family_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(8)
+    shared, n = [f"b{i}" for i in range(350)], 240
+    rows = []
+    for i in range(n):  # two of the family have similarity 0.76; a pair shares 0.81
+        own = [f"o{i}x{k}" for k in range(50)]
+        if i % 2:
+            own = rows[-1][1].split()[350 : 350 + 11] + own[11:]
+        rows.append((i, " ".join(shared + own)))
+    rng.shuffle(rows)
+    sets = {d: {tuple(t.split()[k : k + 5]) for k in range(396)} for d, t in rows}
+    alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert alike == {(i, i + 1) for i in range(0, n, 2)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (simhash.BLOCK, 50):
+        monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+        assert sorted(r.doc_id for r in simhash.keep_one(docs, radius=0).collect()) == list(range(0, n, 2))
