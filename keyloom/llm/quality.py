@@ -80,6 +80,7 @@ def figures(batch: TextBatch) -> dict[str, np.ndarray]:
 def labelled(docs: DataFrame, labels: DataFrame, label_col: str, most: int, where=None) -> DataFrame:
     """text and label of at most ``most`` documents of each label 0 and 1: those with the least hashes of their ids."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1))
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")  # labels of other documents use up no sample
     known = known.groupBy(F.col("doc_id").alias("label_id")).agg(F.min(label_col).alias("label"))
     if where is not None:
         known = known.where(where(F.col("label_id")))

@@ -57,3 +57,10 @@ def test_without_labels_and_rows(spark):
     out = quality.scored(docs, None)
     assert out.columns.count("kept") == 1 and sorted(r.kept for r in out.collect()) == [False, False, True]
     assert quality.scored(docs.limit(0), None).count() == 0
+
+
+def test_labels_of_absent_documents_use_up_no_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, quality int")
+    got = quality.labelled(docs, labels, "quality", 5).collect()
+    assert sorted(r.label for r in got) == [0] * 5 + [1] * 5 and all(r.label_id < 20 for r in got)
