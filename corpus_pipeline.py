@@ -30,8 +30,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without windows of words that start earlier elsewhere; n_chars follows the text."""
-    kept = substrings.remove(docs, width=PASSAGE_WORDS)
+    """The documents without windows of words that start earlier elsewhere; n_chars follows the text, and a text that loses nothing stays as it is."""
+    kept = substrings.remove(docs.withColumn("_whole", F.col("text")), width=PASSAGE_WORDS)
+    kept = kept.withColumn("text", F.when(F.col("n_removed") > 0, F.col("text")).otherwise(F.col("_whole")))
     return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -108,3 +108,13 @@ def test_entry_has_the_queries(name):
     import __spark_entry__
 
     assert name in __spark_entry__.queries() and sys.modules["corpus_pipeline"]
+
+
+def test_repeated_passages_keep_texts_that_lose_nothing(spark):
+    import corpus_pipeline as p
+
+    passage = " ".join(f"w{i}" for i in range(30))
+    texts = ["one  two\nthree\n\nfour", None, passage, "first line\n" + passage + "\tend  end", ""]
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.text, r.n_chars) for r in p.repeated_passages(spark, docs, "").orderBy("doc_id").collect()]
+    assert got == [(t, None if t is None else len(t)) for t in texts[:3]] + [("first line end end", 18), ("", 0)]
