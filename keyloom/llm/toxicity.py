@@ -19,7 +19,7 @@ number), and a calibrated logistic turns them into a score.
 Lexicon: a few fixed words, and stems (beginnings of 3 to 10 bytes, or whole words)
 learned from at most ``SAMPLE`` documents of each label: those that cover the toxic
 documents greedily, most uncovered ones first, with high odds against clean ones.
-Near copies count once there, by the least hash of their stems.
+Near copies (Jaccard similarity of the stems ``COPY`` or more) count once there.
 
 Defined results: a null or empty text has the score of no match; without labelled
 rows of both classes the fixed words and a fixed logistic are used; repeated rows
@@ -38,9 +38,11 @@ from pyspark.sql import DataFrame
 from .ngrams import adam, sigmoid
 from .quality import labelled
 from .shared import with_fields
+from .simhash import band_keys
 from .textbatch import TextBatch, mixed, slices
 
 SAMPLE, THRESHOLD = 1_500, 0.7
+COPY = 0.8
 OTHER, INSULT, HARM, TARGET, NEGATION, REPORT, END, TARGETED, WEAK, WEAK_HARM, THREAT = range(11)
 
 #: Words of each class.
@@ -195,12 +197,34 @@ _FIXED = {k: whole(v) for k, v in WORDS.items() if k != INSULT}
 _END = whole(ENDS[0])
 
 
-def lexicon(sets: list[np.ndarray], label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct(sets: list[np.ndarray], bands: list[np.ndarray], rows: np.ndarray) -> dict[int, np.ndarray]:
+    """Of these rows the sets that are not empty, but for those that have the similarity ``COPY`` with one before that is kept.
+
+    Sets of that similarity share one of their min-wise bands (:func:`.simhash.band_keys`) but for 3 in a million.
+    """
+    kept: dict[int, np.ndarray] = {}
+    buckets: dict[int, list[int]] = {}
+    for i in rows.tolist():
+        if not len(sets[i]):
+            continue
+        for j in {j for key in bands[i].tolist() for j in buckets.get(key, ())}:
+            few, many = sorted((len(sets[i]), len(sets[j])))
+            if few >= COPY * many:
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= COPY * (few + many - both):
+                    break
+        else:
+            kept[i] = sets[i]
+            for key in bands[i].tolist():
+                buckets.setdefault(key, []).append(i)
+    return kept
+
+
+def lexicon(sets: list[np.ndarray], label: np.ndarray, bands: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Fixed insults, and the stems that cover the toxic documents."""
     known = dict.fromkeys(whole(WORDS[INSULT]).tolist(), 1.0)
-    family = np.array([s.min() if len(s) else 0 for s in sets], np.uint64)
-    toxic = {int(family[i]): sets[i] for i in np.flatnonzero(label == 1)[::-1] if len(sets[i])}
-    clean = {int(family[i]): sets[i] for i in np.flatnonzero(label == 0)[::-1] if len(sets[i])}
+    bands = [band_keys(s) for s in sets] if bands is None else bands
+    toxic, clean = (distinct(sets, bands, np.flatnonzero(label == k)) for k in (1, 0))
     if toxic and clean:
         features, of = np.concatenate(list(toxic.values())), np.repeat(np.arange(len(toxic)), [len(s) for s in toxic.values()])
         keys, at, support = np.unique(features, return_inverse=True, return_counts=True)
@@ -251,14 +275,15 @@ def train(docs: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE,
                     pairs = np.searchsorted(doc, np.arange(b - a + 1))
                     for i in range(b - a):
                         sets[i].append(np.unique(h[pairs[i] : pairs[i + 1]]))
-                yield pa.RecordBatch.from_arrays([record.column(0).slice(a, b - a), record.column(1).slice(a, b - a), record.column(2).slice(a, b - a), pa.array([np.concatenate(s).tobytes() for s in sets], pa.binary())], ["label_id", "text", "label", "stems"])
+                yield pa.RecordBatch.from_arrays([record.column(0).slice(a, b - a), record.column(1).slice(a, b - a), record.column(2).slice(a, b - a), pa.array([np.concatenate(s).tobytes() for s in sets], pa.binary()), pa.array([band_keys(np.concatenate(s)).tobytes() for s in sets], pa.binary())], ["label_id", "text", "label", "stems", "bands"])
 
-    table = rows.mapInArrow(run, "label_id long, text string, label int, stems binary").toArrow().sort_by("label_id")  # at most 2 * sample rows
+    table = rows.mapInArrow(run, "label_id long, text string, label int, stems binary, bands binary").toArrow().sort_by("label_id")  # at most 2 * sample rows
     label = table.column("label").to_numpy()
     sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("stems")]
+    bands = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("bands")]
     part = mixed(table.column("label_id").to_numpy().view(np.uint64), 9) % np.uint64(4) != 3
     learn = part if len(set(label[part])) == 2 else np.ones(len(label), bool)
-    model = Model(*lexicon([s for s, x in zip(sets, learn, strict=True) if x], label[learn]))
+    model = Model(*lexicon([s for s, x in zip(sets, learn, strict=True) if x], label[learn], [s for s, x in zip(bands, learn, strict=True) if x]))
     if len(set(label.tolist())) == 2:
         texts = table.column("text").to_pylist()
         x = np.concatenate([model.figures(tokens(texts[a:b]))[0] for a, b in slices([t.encode() for t in texts])])
@@ -269,7 +294,7 @@ def train(docs: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE,
             d = (sigmoid(x @ w[:3] + w[3]) - y) * weight
             return np.append(x.T @ d, d.sum()) + 2e-3 * np.append(w[:3], 0)
 
-        return Model(*lexicon(sets, label), adam(gradient, model.logistic, 800, 0.05))
+        return Model(*lexicon(sets, label, bands), adam(gradient, model.logistic, 800, 0.05))
     return model
 
 

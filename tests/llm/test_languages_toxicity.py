@@ -112,3 +112,18 @@ def test_stems_are_found_at_word_starts():
     batch = TextBatch([b"stupidly stupid upid"])
     found = {int(h) for _, _, hs in toxicity.stems(batch) for h in hs}
     assert int(toxicity.whole("stupid")[0]) in found and int(toxicity.whole("stup")[0]) not in found
+
+
+def test_lexicon_drops_near_copies_only():
+    rng = np.random.default_rng(5)
+    least = np.uint64(1 << 4 | toxicity.WHOLE)  # the same least stem in every document makes no copies of them
+    own = [np.unique(np.append((rng.integers(1 << 32, 1 << 60, 60).astype(np.uint64) & ~np.uint64(15)) | np.uint64(toxicity.WHOLE), least)) for _ in range(60)]
+    slur = np.uint64(1 << 62 | toxicity.WHOLE)
+    toxic = [np.append(s, slur) for s in own[:30]]
+    copies = [np.append(toxic[0][:-4], slur)] * 3
+    sets = [*toxic, *copies, *own[30:]]
+    label = np.array([1] * 33 + [0] * 30)
+    bands = [toxicity.band_keys(s) for s in sets] if hasattr(toxicity, "band_keys") else None
+    keys, _ = toxicity.lexicon(sets, label)
+    assert int(slur) in keys.tolist() and int(least) not in keys.tolist()
+    assert list(toxicity.distinct(sets, bands, np.flatnonzero(label == 1))) == list(range(30))
