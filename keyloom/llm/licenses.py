@@ -1,6 +1,7 @@
 """Operator 10: license notices in documents.
 
-Templates are short notices, headers and whole permission texts.  Words are
+Templates are short notices, headers and permission texts (MIT and BSD whole, ISC and
+Unlicense without their warranty paragraphs); SPDX lines are read for any identifier.  Words are
 lower-cased runs of letters and digits (dots inside numbers stay).  Each template's
 runs of ``GRAM`` words are hashed and winnowed (the least of every ``WINNOW``
 neighbours), which makes an inverted index of a few thousand entries.  All word
@@ -41,13 +42,11 @@ TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-        "SPDX-License-Identifier: Apache-2.0",
     ],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-        "SPDX-License-Identifier: MIT",
     ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
@@ -61,11 +60,28 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
-    "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
+    "LGPL-2.1": ["This work is licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "CC0-1.0": ["Released under CC0 1.0.", "This work is licensed under a Creative Commons CC0 1.0 Universal License."],
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "Unlicense": ["This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
 }
 
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS {}BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+_BSD_THIRD = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_END = " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+_BSD = TEMPLATES["BSD-2-Clause"][0]
+TEMPLATES["BSD-2-Clause"].append(_BSD + _BSD_END)
+TEMPLATES["BSD-3-Clause"] = [_BSD + _BSD_THIRD, _BSD + _BSD_THIRD + _BSD_END]
+TEMPLATES["MIT"].append(TEMPLATES["MIT"][2] + " " + _AS_IS.format("OR COPYRIGHT HOLDERS "))
+#: Words that tell a notice from its siblings: where a template has them, its match must have them too.
+REQUIRED = {"MIT": ["mit"], "Apache-2.0": ["apache license version 2.0"], "GPL-2.0": ["gnu general public license", "version 2"], "GPL-3.0": ["gnu general public license", "version 3"], "LGPL-2.1": ["lesser general public license", "version 2.1"], "LGPL-3.0": ["lesser general public license", "version 3"], "AGPL-3.0": ["affero general public license", "version 3"], "CC-BY-4.0": ["cc by 4.0", "attribution 4.0"], "CC-BY-SA-4.0": ["by sa 4.0", "attribution sharealike 4.0"], "CC-BY-NC-4.0": ["by nc 4.0", "attribution noncommercial 4.0"], "CC0-1.0": ["cc0 1.0"], "BSD-3-Clause": ["endorse or promote"]}
+#: Identifiers of an SPDX line; each is a row with template -1.
+_ID = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\+?\)*"
+_SPDX = re.compile(rf"SPDX-License-Identifier:[ \t]*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)")
+
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _SCHEMA = "doc_id long, license string, template int, coverage double, matched int, first_char long, end_char long"
 
@@ -74,6 +90,21 @@ def words_of(text: str) -> list[str]:
     return [m[0].lower() for m in _WORD.finditer(text)]
 
 
+def spdx(text: str) -> list[tuple]:
+    """A row as of :func:`matches` for each license identifier of an SPDX line."""
+    out = []
+    for m in _SPDX.finditer(text):
+        for name in re.sub(r"\bWITH\s+\S+", "", m[1]).replace("(", "").replace(")", "").split():
+            if name not in ("AND", "OR", "NONE", "NOASSERTION"):
+                out.append((name, -1, 1.0, 3 + len(words_of(name)), m.start(), m.end()))
+    return out
+
+
+def distinguished(name: str, template: list[str], words: list[str]) -> bool:
+    own, found = f" {' '.join(template)} ", f" {' '.join(words)} "
+    return all(f" {x} " in found for x in REQUIRED.get(name, ()) if f" {x} " in own)
+
+
 def grams(words: TextBatch) -> np.ndarray:
     h = words.word_hashes
     out = np.zeros(max(0, len(h) - GRAM + 1), np.uint64)
@@ -140,7 +171,7 @@ def matches(text: str, hits: list[tuple[int, int]], spans: list[tuple[int, int]]
                 continue
             last = shift
             matched, first, end = align(template, words, shift + DRIFT // 2)
-            if matched >= MIN_COVERAGE * len(template):
+            if matched >= MIN_COVERAGE * len(template) and distinguished(name, template, words[first:end]):
                 found.append((matched, name, number, matched / len(template), first, end))
     kept: list[tuple] = []
     for m in sorted(found, key=lambda x: (-x[0], -x[3], x[1], x[2])):
@@ -165,6 +196,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 some = np.flatnonzero(left < right)
                 doc = batch.word_doc[some]
                 some, doc = (x[doc == batch.word_doc[np.minimum(some + GRAM - 1, len(batch.word_doc) - 1)]] for x in (some, doc)) if len(some) else (some, doc)
+                out += [(ids[i], *row) for i in range(a, b) if "SPDX" in texts[i] for row in spdx(texts[i])]
                 for i in np.unique(doc).tolist():
                     hits = [(e, int(w - batch.first_word[i])) for w in some[doc == i].tolist() for e in range(int(left[w]), int(right[w]))]
                     spans = [m.span() for m in _WORD.finditer(texts[a + i])]

@@ -118,3 +118,13 @@ def test_repeated_passages_keep_texts_that_lose_nothing(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r.text, r.n_chars) for r in p.repeated_passages(spark, docs, "").orderBy("doc_id").collect()]
     assert got == [(t, None if t is None else len(t)) for t in texts[:3]] + [("first line end end", 18), ("", 0)]
+
+
+def test_sibling_licenses_are_told_apart(spark):
+    third = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    two = licenses.TEMPLATES["BSD-2-Clause"][1]
+    texts = [two, two.replace(" THIS SOFTWARE IS", third + " THIS SOFTWARE IS", 1), "This work is licensed under the GNU Lesser General Public License, version 3.", "This work is licensed under the GNU Affero General Public License, version 3.", "This work is licensed under the GNU Free Documentation License, version 3.", "# SPDX-License-Identifier: MIT-0", "SPDX-License-Identifier: (EPL-2.0 OR GPL-2.0-only WITH Classpath-exception-2.0)", licenses.TEMPLATES["MIT"][3]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = licenses.scan(docs).orderBy("doc_id", "license").collect()
+    assert [(r.doc_id, r.license, r.coverage) for r in rows] == [(0, "BSD-2-Clause", 1.0), (1, "BSD-3-Clause", 1.0), (2, "LGPL-3.0", 1.0), (3, "AGPL-3.0", 1.0), (5, "MIT-0", 1.0), (6, "EPL-2.0", 1.0), (6, "GPL-2.0-only", 1.0), (7, "MIT", 1.0)]
+    assert rows[0].end_char >= len(two) - 1 and rows[-1].end_char >= len(texts[-1]) - 1
