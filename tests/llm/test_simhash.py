@@ -139,6 +139,6 @@ def test_links_of_a_boilerplate_family_equal_brute_force(spark, monkeypatch):
     alike = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert alike == {(i, i + 1) for i in range(0, n, 2)}
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for block in (simhash.BLOCK, 50):
+    for block in (1_024, 50):
         monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
         assert sorted(r.doc_id for r in simhash.keep_one(docs, radius=0).collect()) == list(range(0, n, 2))
