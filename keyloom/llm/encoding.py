@@ -1,38 +1,27 @@
 """Token ids of whole texts by the tokenizers library, with a store of words.
 
 The vocabulary used here drops white space and its pre-tokenizer never joins
-characters across white space, so a text's ids are the ids of its words in
-order.  A Python worker therefore sends each distinct word to the library once,
-keeps its ids under the word's 64-bit hash in sorted arrays, and puts texts
-together from those arrays.  Texts for which this could differ from encoding the
-text at once are sent whole: those that may hold a special token, and those
-where lower-casing before normalisation could matter.  A tokenizer for which
-words and whole texts differ on a probe gets whole texts only.
+characters across white space, so a text's ids are the ids of its words in order.
+A Python worker therefore sends each distinct word to the library once and keeps
+its ids beside the word's bytes in sorted arrays; texts are put together from those
+arrays.  A word is found by a hash, and taken only if its bytes are those of the
+stored word.  Words of more than ``8 * LANES`` bytes, and those whose hash another
+word has, go to the library each time; texts that may hold a special token go there
+whole.  A tokenizer for which words and whole texts differ on a probe gets whole
+texts only.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-from .textbatch import TextBatch, slices
-
-#: Combining marks that make one letter with an ASCII letter before them.
-_MARKS = re.compile("[̀-ͯ]")
-#: Letters and then other signs, which make two pre-tokens; no apostrophe, as some of its uses make one.
-_TAIL = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
-#: Latin letters that are their own normal form and lower case.
-_PLAIN = re.compile("[a-zß-öø-ÿ]+")
-#: How the byte-level step writes the bytes of those letters: bytes without a visible sign move up from 256.
-_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
-_SHOWN = str.maketrans({b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)})
-#: Texts are put together in batches of about so many bytes.
-BATCH_BYTES = 2 << 20
-#: Bound of a worker's store, in words of about 25 bytes.
-MAX_WORDS = 4_000_000
+from .textbatch import BATCH_BYTES, LANES, TextBatch, slices
+
+#: Bound of a worker's store, in words of about 50 bytes.
+MAX_WORDS = 1_000_000
 _PROBE = "The café, über straße mañana!! x###  it's I'LL\n12,3 (a) 一二 Å naïve..."
 
 
@@ -46,85 +35,87 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges = self.tokenizer.model
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype)
         self._forget()
-        probe = [_PROBE, *_PROBE.split()]
-        self.by_words = all(np.array_equal(a, b) for a, b in zip(self._texts([x.encode() for x in probe]), self._direct(probe), strict=True))
-        self._forget()
+        self.by_words = np.array_equal(self._texts([_PROBE.encode()])[0], self._direct([_PROBE])[0])
 
     @classmethod
     def of(cls, path: str, end_id: int) -> Encoder:
         if (path, end_id) not in cls._kept:
+            cls._kept.clear()
             cls._kept[path, end_id] = cls(path, end_id)
         return cls._kept[path, end_id]
 
     def _forget(self) -> None:
-        self.hashes = np.zeros(0, np.uint64)  # sorted; the ids of word i are ids[begin[i]:][:size[i]]
+        self.hashes = np.zeros(0, np.uint64)  # sorted; word i has ids[begin[i]:][:size[i]] and the bytes lanes[:, i]
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.lanes = np.zeros((LANES, 0), np.uint64)
         self.ids = np.zeros(0, self.dtype)
 
     def _direct(self, texts: Sequence[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch(list(texts), add_special_tokens=False)]
-
-    def _plain(self, letters: str) -> list[int]:
-        """The ids of one pre-token that normalisation leaves alone: only the library's merges are left to do."""
-        shown = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_SHOWN)
-        return [t.id for t in self.merges.tokenize(shown)]
-
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found: list[list[int] | None] = []
-        tails: dict[str, list[int]] = {}
-        rest = []
-        for i, w in enumerate(words):
-            if _PLAIN.fullmatch(w):
-                found.append(self._plain(w))
-            elif (m := _TAIL.fullmatch(w)) and _PLAIN.fullmatch(m[1]):
-                if m[2] not in tails:
-                    tails[m[2]] = self._direct([m[2]])[0].tolist()
-                found.append(self._plain(m[1]) + tails[m[2]])
-            else:
-                found.append(None)
-                rest.append(i)
-        for i, ids in zip(rest, self._direct([words[i] for i in rest]), strict=True):
-            found[i] = ids.tolist()
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, lanes: np.ndarray, words: list[str]) -> None:
+        found = self._direct(words)
         size = np.array([len(x) for x in found], np.int32)
         begin = len(self.ids) + np.cumsum(size) - size
-        self.ids = np.concatenate([self.ids, np.array([y for x in found for y in x], self.dtype)])
-        hashes = np.concatenate([self.hashes, hashes])
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.begin, self.size = np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
-
-    def _texts(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The ids of some texts, word by word."""
-        batch = TextBatch([t.lower() for t in texts])
+        self.ids = np.concatenate([self.ids, *found])
+        at = np.searchsorted(self.hashes, hashes)  # both are sorted
+        self.hashes, self.begin, self.size = (np.insert(x, at, y) for x, y in ((self.hashes, hashes), (self.begin, begin), (self.size, size)))
+        self.lanes = np.insert(self.lanes, at, lanes, axis=1)
+
+    def _words(self, batch: TextBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids, and where those of each word of the batch begin among them and how many they are."""
+        lanes, length = batch.word_lanes
+        starts, ends, raw = batch.word_starts, batch.word_ends, batch.buf.tobytes()
         hashes, first, of = np.unique(batch.word_hashes, return_index=True, return_inverse=True)
+        short = length[first] <= 8 * LANES
         at = np.searchsorted(self.hashes, hashes)
-        new = np.append(self.hashes, np.uint64(0))[at] != hashes
-        new |= at == len(self.hashes)
-        if new.any():
-            a, b, raw = batch.word_starts[first[new]].tolist(), batch.word_ends[first[new]].tolist(), batch.buf.tobytes()
-            self._learn(hashes[new], [raw[x:y].decode() for x, y in zip(a, b, strict=True)])
+        known = np.append(self.hashes, np.uint64(0))[at] == hashes
+        new = np.flatnonzero(short & (~known | (at == len(self.hashes))))
+        if len(new):
+            a, b = starts[first[new]].tolist(), ends[first[new]].tolist()
+            self._learn(hashes[new], lanes[:, first[new]], [raw[x:y].decode() for x, y in zip(a, b, strict=True)])
             at = np.searchsorted(self.hashes, hashes)
-        size = self.size[at][of].astype(np.int64)
+        at = at[of]
+        odd = length > 8 * LANES
+        at[odd] = 0
+        if len(self.hashes):
+            odd |= (self.lanes[:, at] != lanes).any(axis=0)
+            begin, size = self.begin[at], self.size[at].astype(np.int64)
+        else:
+            begin, size = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        ids, odd = self.ids, np.flatnonzero(odd)
+        if len(odd):
+            words = [raw[x:y].decode() for x, y in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]
+            place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+            found = self._direct(list(place))
+            sizes = np.array([len(x) for x in found], np.int64)
+            which = np.array([place[w] for w in words])
+            begin[odd], size[odd] = (len(ids) + np.cumsum(sizes) - sizes)[which], sizes[which]
+            ids = np.concatenate([ids, *found])
+        return ids, begin, size
+
+    def _texts(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of some texts, word by word."""
+        batch = TextBatch(texts)
+        if not len(batch.word_starts):
+            return [np.zeros(0, self.dtype)] * len(texts)
+        ids, begin, size = self._words(batch)
         ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        source = np.repeat(self.begin[at][of] - (ends - size), size) + np.arange(total)
-        ids = self.ids[source]
-        return np.split(ids, np.append(0, ends)[batch.first_word[1:-1]]) if len(texts) else []
+        source = np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]))
+        return np.split(ids[source], np.append(0, ends)[batch.first_word[1:-1]])
 
     def encode(self, texts: Sequence[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text (UTF-8) and the end id, as little-endian integers of ``dtype``."""
         for a, b in slices(texts, BATCH_BYTES):
             if len(self.hashes) > MAX_WORDS:
                 self._forget()
-            some = [t.decode() for t in texts[a:b]]
-            whole = [i for i, t in enumerate(some) if not self.by_words or "<|" in t or not t.isascii() and _MARKS.search(t)]
+            whole = [i for i in range(a, b) if not self.by_words or b"<|" in texts[i]]
             apart = set(whole)
-            ids = self._texts([b"" if i in apart else t for i, t in enumerate(texts[a:b])])
-            for i, x in zip(whole, self._direct([some[i] for i in whole]), strict=True):
-                ids[i] = x
+            ids = self._texts([b"" if i in apart else texts[i] for i in range(a, b)])
+            for i, x in zip(whole, self._direct([texts[i].decode() for i in whole]), strict=True):
+                ids[i - a] = x
             for x in ids:
                 yield np.concatenate([x, self.end])

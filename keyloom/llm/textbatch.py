@@ -17,16 +17,20 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 
 SPACE = b" \t\n\x0b\x0c\r"
 #: A batch is cut when it reaches this many bytes; a longer text is a batch of its own.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
+#: Spans of up to so many lanes of eight bytes are hashed from their bytes as numbers, longer ones by XXH64.
+LANES = 3
 
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(SPACE)] = False
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _U64 = (1 << 64) - 1
+#: The first k bytes of a lane.
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -37,7 +41,7 @@ def powers(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, 1 << 16), base & _U64, np.uint64)
         steps[0] = 1
         have = np.multiply.accumulate(steps)
-        if len(have) <= 4 * BATCH_BYTES:
+        if len(have) <= BATCH_BYTES // 2:
             _powers[base] = have
     return have[:n]
 
@@ -106,16 +110,40 @@ class TextBatch:
     def word_doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self)), self.n_words)
 
-    def span_hashes(self, starts: np.ndarray, ends: np.ndarray, buf: np.ndarray | None = None) -> np.ndarray:
+    def lanes(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[lane, span]: the first bytes of byte spans as numbers, zero behind their ends; and the spans' sizes."""
+        size = ends - starts
+        padded = np.concatenate([self.buf, np.zeros(8 * LANES + 8, np.uint8)])
+        at_every_byte = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+        out = np.zeros((LANES, len(starts)), np.uint64)
+        for k in range(LANES):
+            some = np.flatnonzero(size > 8 * k)
+            out[k, some] = at_every_byte[starts[some] + 8 * k] & _MASK[np.minimum(size[some] - 8 * k, 8)]
+        return out, size
+
+    def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """64-bit hashes of byte spans; equal spans have equal hashes wherever they are."""
-        buf = self.buf if buf is None else buf
-        sums = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum((buf + np.uint64(1)) * powers(_BASE, len(buf)), out=sums[1:])
-        return mixed((sums[ends] - sums[starts]) * powers(_INVERSE, len(buf) + 1)[starts])
+        parts, size = self.lanes(starts, ends)
+        return self._hashed(parts, size, starts)
+
+    def _hashed(self, parts: np.ndarray, size: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        h = mixed(parts[0] ^ mixed(size.astype(np.uint64), 3), 1)
+        for part in parts[1:]:
+            some = np.flatnonzero(part)
+            h[some] = mixed(h[some] ^ part[some], 1)
+        data = None
+        for i in np.flatnonzero(size > 8 * len(parts)).tolist():
+            data = self.buf.tobytes() if data is None else data
+            h[i] = xxhash.xxh64_intdigest(data[starts[i] : starts[i] + size[i]], 42)
+        return h
+
+    @cached_property
+    def word_lanes(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.lanes(self.word_starts, self.word_ends)
 
     @cached_property
     def word_hashes(self) -> np.ndarray:
-        return self.span_hashes(self.word_starts, self.word_ends)
+        return self._hashed(*self.word_lanes, self.word_starts)
 
     def windows(self, width: int) -> np.ndarray:
         """Indexes of the words at which a window of that many words of one document starts."""
@@ -149,8 +177,17 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def ranges(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of an Arrow string column with about that many bytes, a longer text by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, "right")))
+        yield a, b
+        a = b
+
+
 def batches(column: pa.Array, limit: int = BATCH_BYTES) -> Iterator[tuple[int, int, TextBatch]]:
-    """The column in batches of bounded bytes: first row, end row, batch."""
-    texts = utf8(column)
-    for a, b in slices(texts, limit):
-        yield a, b, TextBatch(texts[a:b])
+    """The column in batches of bounded bytes: first row, end row, batch; only one batch's texts are Python objects."""
+    for a, b in ranges(column, limit):
+        yield a, b, TextBatch(utf8(column.slice(a, b - a)))

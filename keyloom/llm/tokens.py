@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .encoding import Encoder
 from .shared import filesystem
-from .textbatch import utf8
+from .textbatch import ranges, utf8
 
 NULL_ID = -(1 << 63)
 #: About so many bytes of ids are read, or handed to Spark, at once.
@@ -70,9 +70,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         def encoded() -> Iterator[bytes]:
             for batch in found:
                 ids.append(batch.column(0).to_numpy())
-                for x in encoder.encode(utf8(batch.column(1))):
-                    sizes.append(len(x))
-                    yield x.tobytes()
+                for a, b in ranges(batch.column(1)):
+                    for x in encoder.encode(utf8(batch.column(1).slice(a, b - a))):
+                        sizes.append(len(x))
+                        yield x.tobytes()
 
         _put(system, local, f"{k}.ids", encoded())
         if not sizes:
@@ -102,33 +103,35 @@ def read_manifest(path: str) -> dict:
         return json.loads(f.read())
 
 
-def mapped(path: str, name: str, kind: str) -> np.ndarray:
-    """A file of the folder as an array: memory-mapped where the file system is local, else read."""
+def mapped(path: str, name: str, kind: str, a: int, b: int) -> np.ndarray:
+    """Numbers a to b of a file of the folder: memory-mapped where the file system is local, else read."""
     system, local = filesystem(f"{path}/{name}")
     if system.type_name == "local":
-        return np.memmap(local, kind, "r")
+        return np.memmap(local, kind, "r")[a:b]
+    size = np.dtype(kind).itemsize
     with system.open_input_file(local) as f:
-        return np.frombuffer(f.read(), kind)
+        f.seek(a * size)
+        return np.frombuffer(f.read((b - a) * size), kind)
 
 
-def read_tokens(spark: SparkSession, path: str, docs_per_task: int = 20_000) -> DataFrame:
-    """The files as rows: doc_id, start (ids of all documents before), n_tokens, ids (unsigned 32-bit, little-endian)."""
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """The files as rows: doc_id, start (ids of all documents before), n_tokens, ids (unsigned 32-bit, little-endian); a task for each shard."""
     manifest = read_manifest(path)
     kind = f"<u{manifest['width']}"
-    pieces = [(s["shard"], s["base"], a, min(a + docs_per_task, s["docs"])) for s in manifest["shards"] for a in range(0, s["docs"], docs_per_task)]
     schema = "doc_id long, start long, n_tokens long, ids binary"
-    if not pieces:
+    if not manifest["shards"]:
         return spark.createDataFrame([], schema)
-    tasks = spark.createDataFrame(pieces, "shard long, base long, a long, b long").repartition(len(pieces))
+    shards = [(s["shard"], s["base"], s["docs"]) for s in manifest["shards"]]
+    tasks = spark.createDataFrame(shards, "shard long, base long, docs long").repartition(len(shards))
 
     def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for shard, base, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, offsets, docs = mapped(path, f"{shard}.ids", kind), mapped(path, f"{shard}.offsets", "<u8").astype(np.int64), mapped(path, f"{shard}.docs", "<i8")
-                while a < b:
-                    end = min(b, max(a + 1, int(np.searchsorted(offsets, offsets[a] + READ_BYTES // 4, "right")) - 1))
+            for shard, base, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                offsets, docs, a = mapped(path, f"{shard}.offsets", "<u8", 0, n + 1).astype(np.int64), mapped(path, f"{shard}.docs", "<i8", 0, n), 0
+                while a < n:
+                    end = min(n, max(a + 1, int(np.searchsorted(offsets, offsets[a] + READ_BYTES // 4, "right")) - 1))
                     at = offsets[a : end + 1]
-                    values = pa.py_buffer(ids[at[0] : at[-1]].astype("<u4").tobytes())
+                    values = pa.py_buffer(mapped(path, f"{shard}.ids", kind, int(at[0]), int(at[-1])).astype("<u4").tobytes())
                     ends = pa.py_buffer(((at - at[0]) * 4).astype("<i4").tobytes())
                     own = docs[a:end]
                     yield pa.RecordBatch.from_arrays(

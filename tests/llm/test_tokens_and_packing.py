@@ -10,7 +10,11 @@ from keyloom.llm import packing, tokens
 from keyloom.llm.shared import new_folder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-ODD = ["", None, "  \n", "Å H̱ x", "<|endoftext|> Hi<|startoftext|>", "it's DON'T we'LL, 'tis", "Σας ΟΔΟΣ ΟΔΟΣ, İx ẞ", "a b c\u0085d", "x!!y ,. ...a (a), [b]; 12,34.5", "日本語テキスト、です。", "ﬁ ½ Ⅳ ​ z", "é É ́a a ̈", "same text", "same text", "ÿ÷x× µm ß", "long " * 30_000 + "end. x###"]
+ODD = ["", None, "  \n", "Å H̱ x", "<|endoftext|> Hi<|startoftext|>", "it's DON'T we'LL, 'tis", "Σας ΟΔΟΣ ΟΔΟΣ, İx ẞ", "a b c\u0085d", "x!!y ,. ...a (a), [b]; 12,34.5", "日本語テキスト、です。", "ﬁ ½ Ⅳ ​ z", "é É ́a a ̈", "same text", "same text", "ÿ÷x× µm ß", "long " * 30_000 + "end. x###", "a word of sixty-four-or-more-bytes-" + "x" * 60 + " End\u00a0nbsp \u3000 ideographic"]
+THUE = ["a", "b"]
+for _ in range(11):  # two words that no polynomial hash modulo 2**64 tells apart
+    THUE = [THUE[0] + THUE[1], THUE[1] + THUE[0]]
+ODD.append(f"{THUE[0]} {THUE[1]} {THUE[0]}")
 
 
 TOKENIZER = Tokenizer.from_file(PATH)
@@ -29,7 +33,7 @@ def docs(spark):
 def test_token_files_round_trip(spark, docs):
     path = new_folder(spark, "test-tokens")
     manifest = tokens.write_tokens(docs, path, PATH, 2)
-    got = tokens.read_tokens(spark, path, docs_per_task=4).orderBy("start").collect()
+    got = tokens.read_tokens(spark, path).orderBy("start").collect()
     assert sorted((r.doc_id is not None, r.doc_id or 0, bytes(r.ids)) for r in got) == sorted((i != 3, 0 if i == 3 else min(i, 12), np.array(direct(t), "<u4").tobytes()) for i, t in enumerate(ODD))
     keys = [-1 if r.doc_id is None else r.doc_id for r in got]
     assert keys == sorted(keys)
@@ -76,6 +80,29 @@ def test_packing_with_prompts(spark):
     assert all(r[1] <= 12 or r[2] <= 12 for r in out) and sum(r["sum(length)"] for r in out) == sum(5 + i % 7 for i in range(50))
 
 
+def test_encoder_equals_the_library_on_the_whole_table(spark):
+    from keyloom.llm.encoding import Encoder
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()]
+    encoder = Encoder(PATH, 2)
+    assert encoder.by_words
+    found = encoder.encode([t.encode() for t in texts])
+    for a in range(0, len(texts), 1000):
+        for want in TOKENIZER.encode_batch_fast(texts[a : a + 1000], add_special_tokens=False):
+            assert next(found).tolist() == [*want.ids, 2]
+
+
+def test_words_whose_hashes_meet_keep_their_own_ids(monkeypatch):
+    from keyloom.llm import encoding, textbatch
+
+    plain = textbatch.TextBatch._hashed
+    monkeypatch.setattr(textbatch.TextBatch, "_hashed", lambda self, *a: plain(self, *a) & np.uint64(7))
+    encoder = encoding.Encoder(PATH, 2)
+    texts = ["one two three four five six seven eight nine ten", "ten nine eleven twelve one thirteen " * 3]
+    for _ in range(2):
+        assert [x.tolist() for x in encoder.encode([t.encode() for t in texts])] == [direct(t) for t in texts]
+
+
 def test_packing_of_nothing(docs):
     assert packing.pack(docs.limit(0), PATH, 2).count() == 0
 
