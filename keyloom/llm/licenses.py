@@ -6,9 +6,12 @@ lower-cased runs of letters and digits (dots inside numbers stay).  Each templat
 runs of ``GRAM`` words are hashed and winnowed (the least of every ``WINNOW``
 neighbours), which makes an inverted index of a few thousand entries.  All word
 runs of a document are looked up in it; hits of one template on nearby diagonals
-are a candidate, and a banded alignment of the template with the document around
-them reports the words that match, the share of the template that they cover, and
-where the match begins and ends.  Any match of GRAM + WINNOW - 1 words is found.
+are a candidate.  A candidate whose stretch of the document lacks the words that tell
+its template from others, or shares too few words with it for any alignment to cover
+enough (a bound that rules out no match), goes.  A banded alignment of the template
+with the document around the others reports the words that match, the share of the
+template that they cover, and where the match begins and ends.  Any match of GRAM +
+WINNOW - 1 words in a row is a candidate.
 
 The work is one pass over the documents; the index is built from the templates in
 each task.  Of overlapping matches the one with most words stays (then the greater coverage).
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from collections import Counter
 from functools import cache
 
 import numpy as np
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textbatch import TextBatch, mixed, slices
+from .textbatch import TextBatch, mixed, ranges, utf8
 
 GRAM, WINNOW, BAND = 3, 3, 8
 #: A match is reported if it covers this share of its template's words.
@@ -105,6 +109,14 @@ def distinguished(name: str, template: list[str], words: list[str]) -> bool:
     return all(f" {x} " in found for x in REQUIRED.get(name, ()) if f" {x} " in own)
 
 
+def possible(name: str, template: list[str], words: list[str], shift: int) -> bool:
+    """Whether the words that an alignment at this shift can reach may give a match that is reported."""
+    near = words[max(0, shift - BAND) : max(0, shift + len(template) + BAND)]
+    if not distinguished(name, template, near):
+        return False
+    return (Counter(template) & Counter(near)).total() >= MIN_COVERAGE * len(template)
+
+
 def grams(words: TextBatch) -> np.ndarray:
     h = words.word_hashes
     out = np.zeros(max(0, len(h) - GRAM + 1), np.uint64)
@@ -156,7 +168,7 @@ def align(template: list[str], words: list[str], shift: int) -> tuple[int, int,
     return best[1:]
 
 
-def matches(text: str, hits: list[tuple[int, int]], spans: list[tuple[int, int]], words: list[str]) -> list[tuple]:
+def matches(hits: list[tuple[int, int]], spans: list[tuple[int, int]], words: list[str]) -> list[tuple]:
     """Rows (license, template, coverage, matched, first and end character) from hits (index entry, word)."""
     templates, _, of, place = index()
     groups: dict[int, list[int]] = {}
@@ -170,6 +182,8 @@ def matches(text: str, hits: list[tuple[int, int]], spans: list[tuple[int, int]]
             if last is not None and shift - last <= DRIFT:
                 continue
             last = shift
+            if not possible(name, template, words, shift + DRIFT // 2):
+                continue
             matched, first, end = align(template, words, shift + DRIFT // 2)
             if matched >= MIN_COVERAGE * len(template) and distinguished(name, template, words[first:end]):
                 found.append((matched, name, number, matched / len(template), first, end))
@@ -186,21 +200,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, keys, _, _ = index()
         for record in found:
-            ids, texts = record.column(0).to_pylist(), [t or "" for t in record.column(1).to_pylist()]
             out = []
-            for a, b in slices([t.encode() for t in texts]):
+            for a, b in ranges(record.column(1)):
+                ids = record.column(0).slice(a, b - a).to_pylist()
+                texts = [t.decode("utf-8", "replace") for t in utf8(record.column(1).slice(a, b - a))]
                 # the same words, one blank between: bytes that are no letter or digit end a word
-                batch = TextBatch([" ".join(words_of(t)).encode() for t in texts[a:b]])
+                batch = TextBatch([" ".join(words_of(t)).encode() for t in texts])
                 h = grams(batch)
                 left, right = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
                 some = np.flatnonzero(left < right)
                 doc = batch.word_doc[some]
                 some, doc = (x[doc == batch.word_doc[np.minimum(some + GRAM - 1, len(batch.word_doc) - 1)]] for x in (some, doc)) if len(some) else (some, doc)
-                out += [(ids[i], *row) for i in range(a, b) if "SPDX" in texts[i] for row in spdx(texts[i])]
+                out += [(i, *row) for i, t in zip(ids, texts, strict=True) if "SPDX" in t for row in spdx(t)]
                 for i in np.unique(doc).tolist():
                     hits = [(e, int(w - batch.first_word[i])) for w in some[doc == i].tolist() for e in range(int(left[w]), int(right[w]))]
-                    spans = [m.span() for m in _WORD.finditer(texts[a + i])]
-                    out += [(ids[a + i], *row) for row in matches(texts[a + i], hits, spans, batch.texts[i].decode().split(" "))]
+                    spans = [m.span() for m in _WORD.finditer(texts[i])]
+                    out += [(ids[i], *row) for row in matches(hits, spans, batch.texts[i].decode().split(" "))]
             names = [x.split()[0] for x in _SCHEMA.split(", ")]
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
             columns = list(zip(*out, strict=True)) if out else [[]] * len(names)
