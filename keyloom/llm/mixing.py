@@ -5,16 +5,18 @@ to its weight: ``total * weight / rows``.  Each row's number of copies is the
 inverse of the Poisson distribution with that rate at a number in [0, 1) hashed
 from the seed and the row's id, so it depends on nothing else: reruns, retries and
 other partitionings give the same copies.  Rows are repeated by their count and
-dealt over all partitions by a hash of id and copy, sorted by it inside each: a
-global shuffle in which a hot source or a much repeated row is spread evenly.
+dealt over all partitions by a hash of id, copy and the partition that the row comes
+from, sorted by the hash of id and copy inside each: a global shuffle in which a hot
+source, a much repeated row, or rows that share an id are spread evenly.
 
 Weights name sources; sources without a weight share what is left in proportion
 to their rows.  The table of rates has a row for each source; it is broadcast
-only where its counted rows are at most ``MAX_BROADCAST``, else joined by shuffle.
+only where its counted bytes are at most ``MAX_BROADCAST``, else joined by shuffle.
 
 Defined results: a null source is a source of its own, without a weight; rows with
-equal (also null) ids get equal counts; a weight of an absent source is given to
-no one else (the output is that much smaller); an empty table gives no rows.
+equal (also null) ids get equal counts, so where many rows share an id the output may
+be far from the target; a weight of an absent source is given to no one else (the
+output is that much smaller); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .shared import cut
 
-MAX_BROADCAST = 50_000
+#: Bytes of the table of rates.
+MAX_BROADCAST = 8 << 20
 
 
 def uniform(id_col: Column, seed: int) -> Column:
@@ -61,8 +64,10 @@ def rates(docs: DataFrame, weights: dict[str, float], total: int | None = None,
 def mix(docs: DataFrame, weights: dict[str, float], total: int | None = None, seed: int = 0, source_col: str = "source", id_col: str = "doc_id") -> DataFrame:
     """The rows, repeated and globally shuffled, with ``copy`` (from 0; a column of that name is replaced)."""
     names = [c for c in docs.columns if c != "copy"]
-    table = rates(docs, weights, total, source_col).select(F.col("source").alias("_keyloom_source"), distribution(F.col("rate")).alias("_keyloom_sums"))
-    if table.count() <= MAX_BROADCAST:
+    rated = rates(docs, weights, total, source_col)
+    table = rated.select(F.col("source").alias("_keyloom_source"), distribution(F.col("rate")).alias("_keyloom_sums"))
+    size = F.sum(8 * (F.col("rate") + 12 * F.sqrt("rate") + 40) + F.coalesce(F.octet_length(F.col("source").cast("string")), F.lit(0)))
+    if (rated.agg(size).first()[0] or 0) <= MAX_BROADCAST:
         table = F.broadcast(table)
     rows = docs.join(table, docs[f"`{source_col}`"].eqNullSafe(F.col("_keyloom_source")))
     u = uniform(docs[f"`{id_col}`"], seed)
@@ -70,4 +75,5 @@ def mix(docs: DataFrame, weights: dict[str, float], total: int | None = None, se
     rows = rows.withColumn("_keyloom_u", u).withColumn("_keyloom_n", n).where("_keyloom_n > 0")
     rows = rows.select(*(docs[f"`{c}`"] for c in names), F.explode(F.sequence(F.lit(0), F.col("_keyloom_n") - 1)).alias("copy"))
     rows = rows.withColumn("_keyloom_key", F.xxhash64(F.lit(seed), F.col(f"`{id_col}`"), "copy"))
-    return rows.repartition("_keyloom_key").sortWithinPartitions("_keyloom_key").drop("_keyloom_key")
+    rows = rows.withColumn("_keyloom_part", F.xxhash64("_keyloom_key", F.spark_partition_id()))
+    return rows.repartition("_keyloom_part").sortWithinPartitions("_keyloom_key").drop("_keyloom_key", "_keyloom_part")
