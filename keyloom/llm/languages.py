@@ -11,31 +11,34 @@
 A document's language is the one whose spans hold most letters; its score is that
 share, so a text in one language scores 1 and an even mixture of two 0.5.
 
-Training reads at most ``SAMPLE`` documents of each language (those with the
-least hashes of their ids); each batch adds up its counts in the executors and
-a fixed-size table for each language comes to the driver.  Scoring is one pass;
+Training reads about ``SAMPLE`` documents of each of the ``MAX_LANGUAGES`` most frequent
+languages: those whose ids' hashes are below a share of all hashes that follows from
+the language's number of rows.  Executors count features, Spark adds the counts up, and a
+table of fixed size for each language comes to the driver.  Scoring is one pass;
 documents are decoded side by side, one word of each at a time.
 
-Defined results: a null text, or one without a letter, is ``und`` with score 0;
-words without a letter take no part; without training rows everything is
+Defined results: a null text, or one without a letter (Unicode category L), is ``und``
+with score 0; words without a letter take no part; without training rows everything is
 ``und``; ties go to the language that sorts first; very long texts are labelled
 to the end; repeated rows get equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import with_fields
-from .textbatch import TextBatch, mixed, slices
+from .textbatch import TextBatch, mixed, ranges, utf8
 
-SAMPLE, SWITCH, BITS = 400, 6.0, 17
+SAMPLE, MAX_LANGUAGES, SWITCH, BITS = 400, 256, 6.0, 17
 UNKNOWN = "und"
 #: Scripts and the first and last code points of their ranges.
 SCRIPTS = {
@@ -104,16 +107,19 @@ class Words:
 class _Letters(dict):
     def __missing__(self, code: int) -> int | str:
         c = chr(code)
-        value = c if c.isalpha() or 0x300 <= code <= 0x36F or 0x900 <= code <= 0xDFF else " "
+        value = c if c.isalpha() or unicodedata.category(c)[0] == "M" else " "
         self[code] = value
         return value
 
 
 _TABLE = _Letters()
+#: Marks that follow no letter.
+_LONE_MARKS = regex.compile(r"(?<![\p{L}\p{M}])\p{M}+")
 
 
 def _letters_only(text: str) -> str:
-    return text.lower().translate(_TABLE)
+    found = text.lower().translate(_TABLE)
+    return found if found.isascii() else _LONE_MARKS.sub(" ", found)
 
 
 @dataclass
@@ -174,42 +180,45 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     return label
 
 
+def sampled(rows: DataFrame, sample: int) -> DataFrame:
+    """Of rows (id, lang, text) about ``sample`` of each of the most frequent languages, by the hashes of their ids."""
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return rows.limit(0)
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, sample / r.n))))
+    return rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.element_at(share, F.col("lang")))
+
+
 def train(docs: DataFrame, sample: int = SAMPLE, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Learns from rows with a language and a text."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    some = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn("rank", rank).where(F.col("rank") <= sample)
-    some = F.broadcast(some.select("id", "lang").distinct())  # at most `sample` short rows for each language
-    texts = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(some, ["id", "lang"], "left_semi")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    size = 1 << BITS
+    edges = np.cumsum([0, size, size, len(_NAMES)])
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in found:
-            langs = record.column(0).to_pylist()
-            total: dict[str, list[np.ndarray]] = {}
-            every = [t for t in record.column(1).to_pylist()]
-            for lang in dict.fromkeys(langs):
-                own = [t for t, x in zip(every, langs, strict=True) if x == lang]
-                counts = total.setdefault(lang, [np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(len(_NAMES))])
-                for a, b in slices([t.encode() for t in own]):
-                    w = Words(own[a:b])
-                    inside = np.zeros(len(w.batch.buf) + 1, bool)
-                    inside[: len(w.batch.buf)] = w.batch.buf != 32
-                    for c, x in zip(counts, (w.grams[inside[: len(w.grams)]], w.whole, w.script), strict=True):
-                        c += np.bincount(x, minlength=len(c))
-            yield pa.RecordBatch.from_pydict({"lang": list(total), "counts": [np.concatenate(c).astype(np.float32).tobytes() for c in total.values()]}, schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
-
-    counts: dict[str, np.ndarray] = {}
-    for r in texts.select("lang", "text").coalesce(8).mapInArrow(run, "lang string, counts binary").toLocalIterator():
-        counts[r.lang] = counts.get(r.lang, 0) + np.frombuffer(r.counts, np.float32)
-    names, size = sorted(counts), 1 << BITS
-    table = np.array([counts[x] for x in names]).T if names else np.zeros((2 * size + len(_NAMES), 0))
+            langs = np.array(record.column(0).to_pylist(), object)
+            for a, b in ranges(record.column(1)):
+                texts = [t.decode("utf-8", "replace") for t in utf8(record.column(1).slice(a, b - a))]
+                for lang in dict.fromkeys(langs[a:b]):
+                    w = Words([t for t, x in zip(texts, langs[a:b], strict=True) if x == lang])
+                    inside = w.batch.buf != 32
+                    slots, n = np.unique(np.concatenate([w.grams[: len(inside)][inside], w.whole + edges[1], w.script + edges[2]]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(slots.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "slot", "n"])
+
+    counted = sampled(rows, sample).select("lang", "text").mapInArrow(run, "lang string, slot int, n long")
+    found = counted.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most MAX_LANGUAGES * edges[-1] rows
+    names = sorted(set(found.column("lang").to_pylist()))
+    table = np.zeros((edges[-1], len(names)))
+    at = {x: i for i, x in enumerate(names)}
+    table[found.column("slot").to_numpy(), [at[x] for x in found.column("lang").to_pylist()]] = found.column("n").to_numpy()
 
     def logs(c: np.ndarray, smooth: float) -> np.ndarray:
-        p = (c + smooth) / (c.sum(axis=0) + smooth * size)
-        return (np.log(p) - np.log(p).mean(axis=1, keepdims=True)).astype(np.float32)
+        p = np.log((c + smooth) / (c.sum(axis=0) + smooth * size))
+        return (p - p.mean(axis=1, keepdims=True) if names else p).astype(np.float32)
 
-    script = table[2 * size :]
-    return Model(names, logs(table[:size], 0.5), logs(table[size : 2 * size], 0.1), script > 0.001 * script.sum(axis=0))
+    script = table[edges[2] :]
+    return Model(names, logs(table[:size], 0.5), logs(table[size : edges[2]], 0.1), script > 0.001 * script.sum(axis=0))
 
 
 def labelled_spans(texts: list[str], model: Model, switch: float = SWITCH) -> tuple[Words, np.ndarray]:
@@ -227,13 +236,13 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", columns: li
         k = max(1, len(model.languages))
         languages = np.array([*model.languages, UNKNOWN], object)
         for record in found:
-            texts = [t or "" for t in record.column(len(names)).to_pylist()]
-            for a, b in slices([t.encode() for t in texts], 2 << 20):
+            for a, b in ranges(record.column(len(names))):
                 n = b - a
+                texts = [t.decode("utf-8", "replace") for t in utf8(record.column(len(names)).slice(a, n))]
                 lang, score = np.full(n, len(model.languages)), np.zeros(n)
                 spans: list[list[dict]] = [[] for _ in range(n)]
                 if model.languages:
-                    w, label = labelled_spans(texts[a:b], model)
+                    w, label = labelled_spans(texts, model)
                     share = np.bincount(w.doc * k + label, w.letters, n * k).reshape(n, k)
                     some = share.sum(axis=1) > 0
                     lang[some] = share[some].argmax(axis=1)
