@@ -2,8 +2,9 @@
 
 A feature's value is its share of the document's n-grams of its kind, so a
 document's score is a mean of weights: it is computed with one lookup for each
-n-gram and one running sum for each kind, without feature vectors.  Only the
-bounded training sample is turned into (sparse) vectors.
+n-gram and one running sum for each kind, without feature vectors.  Training goes
+over a bounded sample in small steps and turns one step's texts into (sparse)
+vectors at a time.
 """
 
 from __future__ import annotations
@@ -13,31 +14,36 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .textbatch import TextBatch, mixed
+from .textbatch import TextBatch, mixed, slices
 
-#: Kinds of n-grams: bytes of text (with the white space between words), and words.
-BYTE_ORDERS, WORD_ORDERS = (3, 5), (1, 2)
+#: Kinds of n-grams: code points of text (with the white space between words), and words.
+CHAR_ORDERS, WORD_ORDERS = (3, 5), (1, 2)
+KINDS = len(CHAR_ORDERS) + len(WORD_ORDERS)
 BITS = 18
 #: Shares are small numbers; this brings them near 1 for training.
 SCALE = 100.0
+#: Passes over the sample, bytes of text in a step, and the step size.
+ROUNDS, STEP_BYTES, RATE = 4, 1 << 16, 0.1
 
 
 def hashed(batch: TextBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each kind: the features of all n-grams in order, and where each document's begin and end among them."""
     mask = np.uint64((1 << BITS) - 1)
-    bytes_at, words_at = batch.starts, batch.first_word
-    packed = batch.buf.astype(np.uint64)
-    for n in BYTE_ORDERS:
-        h = np.zeros(max(0, len(packed) - n + 1), np.uint64)
+    texts = [t.decode("utf-8", "replace") for t in batch.texts]
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "replace"), "<u4")
+    chars_at = np.append(0, np.cumsum([len(t) for t in texts], dtype=np.int64))
+    for n in CHAR_ORDERS:
+        h = np.zeros(max(0, len(chars) - n + 1), np.uint64)
         for k in range(n):
-            h = (h << np.uint64(8)) | packed[k : k + len(h)]
-        yield (mixed(h, n) & mask).astype(np.int32), *_ends(bytes_at, n)
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h += chars[k : k + len(h)]
+        yield (mixed(h, n) & mask).astype(np.int32), *_ends(chars_at, n)
     words = batch.word_hashes
     for n in WORD_ORDERS:
         h = np.zeros(max(0, len(words) - n + 1), np.uint64)
         for k in range(n):
             h = mixed(h ^ words[k : k + len(h)], 31 + n)
-        yield (h & mask).astype(np.int32), *_ends(words_at, n)
+        yield (h & mask).astype(np.int32), *_ends(batch.first_word, n)
 
 
 def _ends(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,18 +52,6 @@ def _ends(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return begins, np.maximum(begins, np.minimum(at[1:] - n + 1, last))
 
 
-def vectors(batch: TextBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each document its features (kind and hash in one number) and their scaled shares."""
-    kinds = list(hashed(batch))
-    for i in range(len(batch)):
-        features, values = [], []
-        for kind, (h, a, b) in enumerate(kinds):
-            f, n = np.unique(h[a[i] : b[i]], return_counts=True)
-            features.append(f + (kind << BITS))
-            values.append(n * (SCALE / max(1, b[i] - a[i])))
-        yield np.concatenate(features).astype(np.int32), np.concatenate(values).astype(np.float32)
-
-
 @dataclass
 class Logistic:
     """weights[kind][hash]; the probability is calibrated by slope and shift."""
@@ -107,31 +101,42 @@ def calibrate(raw: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0] / spread), float(w[1])
 
 
-def fit(features: list[np.ndarray], values: list[np.ndarray], label: np.ndarray, rounds: int = 60) -> Logistic:
-    """Trains on three quarters of the rows with both classes weighing the same, calibrates on the rest."""
-    kinds = len(BYTE_ORDERS) + len(WORD_ORDERS)
-    size = kinds << BITS
+def _step(batch: TextBatch, target: np.ndarray, weight: np.ndarray, w: np.ndarray, seen: np.ndarray, bias: np.ndarray) -> None:
+    """One step of AdaGrad for the texts of a batch; ``seen`` holds the sums of squares so far, ``bias`` the bias and its sum."""
+    kinds = list(hashed(batch))
+    z = np.full(len(batch), bias[0])
+    shares = []
+    for k, (h, a, b) in enumerate(kinds):
+        doc = np.repeat(np.arange(len(batch)), b - a)
+        at = h[np.repeat(a - np.append(0, np.cumsum(b - a)[:-1]), b - a) + np.arange(len(doc))]
+        share = (SCALE / np.maximum(1, b - a))[doc]
+        z += np.bincount(doc, w[k][at] * share, len(batch))
+        shares.append((at, doc, share))
+    d = (sigmoid(z) - target) * weight
+    for k, (at, doc, share) in enumerate(shares):
+        features, of = np.unique(at, return_inverse=True)
+        g = np.bincount(of, share * d[doc], len(features))
+        seen[k][features] += g * g
+        w[k][features] -= RATE * g / (np.sqrt(seen[k][features]) + 1e-6)
+    bias[1] += d.sum() ** 2
+    bias[0] -= RATE * d.sum() / (np.sqrt(bias[1]) + 1e-6)
+
+
+def fit(texts: list[bytes], label: np.ndarray) -> Logistic:
+    """Trains on three quarters of the texts with both classes weighing the same, calibrates on the rest."""
     held = np.arange(len(label)) % 4 == 3
     if len(set(label[~held])) < 2 or len(set(label[held])) < 2:
         held[:] = False
     rows = np.flatnonzero(~held)
-    at = np.concatenate([features[i] for i in rows])
-    x = np.concatenate([values[i] for i in rows])
-    of = np.repeat(np.arange(len(rows)), [len(features[i]) for i in rows])
-    y = label[rows].astype(float)
-    weight = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-
-    def gradient(w):
-        z = np.bincount(of, x * w[at], len(rows)) + w[size]
-        d = (sigmoid(z) - y) * weight
-        g = np.zeros_like(w)
-        g[:size] = np.bincount(at, x * d[of], size)
-        g[size] = d.sum()
-        return g + 1e-5 * w
-
-    w = adam(gradient, np.zeros(size + 1), rounds, 0.05)
-    model = Logistic(w[:size].reshape(kinds, -1).astype(np.float32), float(w[size]))
+    own, y = [texts[i] for i in rows], label[rows].astype(float)
+    weight = np.where(y == 1, len(y) / 2 / y.sum(), len(y) / 2 / (1 - y).sum())
+    w, seen, bias = np.zeros((KINDS, 1 << BITS), np.float32), np.zeros((KINDS, 1 << BITS), np.float32), np.zeros(2)
+    for _ in range(ROUNDS):
+        for a, b in slices(own, STEP_BYTES):
+            _step(TextBatch(own[a:b]), y[a:b], weight[a:b], w, seen, bias)
+    model = Logistic(w, float(bias[0]))
     check = np.flatnonzero(held) if held.any() else rows
-    raw = np.array([float((values[i] * w[features[i]]).sum() + w[size]) for i in check])
+    some = [texts[i] for i in check]
+    raw = np.concatenate([model.raw(TextBatch(some[a:b])) for a, b in slices(some)])
     model.slope, model.shift = calibrate(raw, label[check].astype(float))
     return model

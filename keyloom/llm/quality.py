@@ -6,11 +6,12 @@ words in windows of ``REPEAT`` words that occur twice or more in the text.  A
 text fails the base rules with fewer than ``MIN_WORDS`` words or with more than
 ``MAX_REPEATED`` percent of its words in repeated windows.
 
-The model is trained on at most ``SAMPLE`` labelled rows of each class (those
-with the least hashes of their ids), turned into sparse vectors by the executors;
-the driver fits some megabytes.  Its probability is calibrated on rows it was not
-trained on.  Scoring needs the weights only (4 MB, of fixed size) and runs in
-Arrow batches over all rows; a text is kept if it passes the base rules and its
+The model (word and code point n-grams) is trained on at most ``SAMPLE`` labelled
+rows of each class and ``SAMPLE_BYTES`` of their text: those with the least hashes of
+their ids, whole, passing over one that would go beyond the bytes.  One task fits
+this sample; only the weights (4 MB, of fixed size) come to the driver.  The
+probability is calibrated on rows that the model was not trained on.  Scoring runs
+in Arrow batches over all rows; a text is kept if it passes the base rules and its
 probability is at least ``THRESHOLD``.
 
 Defined results: a null text has no words and fails; without labelled rows of
@@ -21,20 +22,21 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ngrams import Logistic, fit, vectors
+from .ngrams import Logistic, fit
 from .shared import with_fields
-from .textbatch import SPACE, TextBatch, batches, mixed, rolling
+from .textbatch import SPACE, TextBatch, batches, mixed, ranges, rolling, utf8
 
 REPEAT, MIN_WORDS, MAX_REPEATED = 8, 20, 30
 SYMBOLS = b"#*$%&|<>"
-SAMPLE, THRESHOLD = 1_000, 0.5
+SAMPLE, SAMPLE_BYTES, THRESHOLD = 1_000, 8 << 20, 0.5
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 _CONTINUES = np.zeros(256, bool)
@@ -90,27 +92,32 @@ def labelled(docs: DataFrame, labels: DataFrame, label_col: str, most: int, wher
     return joined.groupBy("label_id").agg(F.min("text").alias("text"), F.min("label").cast("int").alias("label"))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE) -> Logistic | None:
-    """A model of label 1, or None without labelled documents of both classes."""
+def fitted(rows: DataFrame, fit: Callable[[list[bytes], np.ndarray], object], most_bytes: int):
+    """What ``fit`` makes of the texts and labels of :func:`labelled` in one task, or None without both labels.
+
+    Texts come in the order of their ids' hashes; of each label they have at most ``most_bytes``.
+    """
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, label, used = [], [], {0: 0, 1: 0}
         for record in found:
-            for a, b, batch in batches(record.column(1)):
-                pairs = list(vectors(batch))
-                yield pa.RecordBatch.from_arrays(
-                    [record.column(0).slice(a, b - a), record.column(2).slice(a, b - a), pa.array([f.tobytes() for f, _ in pairs], pa.binary()), pa.array([v.tobytes() for _, v in pairs], pa.binary())],
-                    ["label_id", "label", "features", "counts"],
-                )
+            for a, b in ranges(record.column(0)):
+                for text, y in zip(utf8(record.column(0).slice(a, b - a)), record.column(1).slice(a, b - a).to_pylist(), strict=True):
+                    if used[y] + len(text) <= most_bytes:
+                        used[y] += len(text)
+                        texts.append(text)
+                        label.append(y)
+        if len(set(label)) == 2:
+            yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(texts, np.array(label)))]}, schema=pa.schema([("model", pa.binary())]))
+
+    dealt = rows.repartition(1).sortWithinPartitions(F.xxhash64("label_id", F.lit(9)), "label_id")  # the bounded sample
+    model = dealt.select("text", "label").mapInArrow(run, "model binary").collect()
+    return pickle.loads(model[0]["model"]) if model else None
 
-    rows = labelled(docs, labels, label_col, sample).mapInArrow(run, "label_id long, label int, features binary, counts binary")
-    table = rows.toArrow().sort_by("label_id")  # at most 2 * sample rows
-    label = table.column("label").to_numpy()
-    if len(set(label.tolist())) < 2:
-        return None
-    order = np.argsort(mixed(table.column("label_id").to_numpy().view(np.uint64)))
-    features = [np.frombuffer(x.as_buffer(), np.int32) for x in table.column("features")]
-    values = [np.frombuffer(x.as_buffer(), np.float32) for x in table.column("counts")]
-    return fit([features[i] for i in order], [values[i] for i in order], label[order])
+
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Logistic | None:
+    """A model of label 1, or None without labelled documents of both classes."""
+    return fitted(labelled(docs, labels, label_col, sample), fit, sample_bytes)
 
 
 def scored(docs: DataFrame, model: Logistic | None, text_col: str = "text", threshold: float = THRESHOLD, columns: list[str] | None = None) -> DataFrame:
