@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import Encoder
-from .textbatch import utf8
+from .textbatch import ranges, utf8
 
 POOL = 2048
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, loss_tokens long, sequence_id long, offset long, ids binary"
@@ -148,7 +148,7 @@ def pack(
             return batch
 
         pool: list[Piece] = []
-        for batch in found:
+        for batch in (record.slice(a, b - a) for record in found for a, b in ranges(record.column(2))):
             docs, prompts, texts = batch.column(0).to_pylist(), utf8(batch.column(1)), utf8(batch.column(2))
             heads = encoder.encode(prompts) if prompt_chars_col else None
             for doc, ids in zip(docs, encoder.encode(texts), strict=True):

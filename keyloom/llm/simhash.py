@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shared import cut, written
-from .textbatch import mixed, utf8
+from .textbatch import mixed, ranges, utf8
 
 NULL_ID = -(1 << 63)
 #: Distinct fingerprints that the top tree is built from at most; a shard takes about SHARD of them.
@@ -97,12 +97,14 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
 
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            fps, keys = np.zeros(len(batch), np.uint64), []
-            for i, text in enumerate(utf8(batch.column(1))):
-                hashes = shingle_hashes(text, shingle)
-                fps[i] = fingerprint(hashes)
-                keys.append(band_keys(hashes) if bands else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "fp", "bands"])
+            for a, b in ranges(batch.column(1)):
+                some = batch.slice(a, b - a)
+                fps, keys = np.zeros(len(some), np.uint64), []
+                for i, text in enumerate(utf8(some.column(1))):
+                    hashes = shingle_hashes(text, shingle)
+                    fps[i] = fingerprint(hashes)
+                    keys.append(band_keys(hashes) if bands else [])
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "fp", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key"))
     return rows.mapInArrow(run, "doc_id long, text_key long, fp long, bands array<long>")
@@ -226,8 +228,9 @@ def shingle_sets(docs: DataFrame, buckets: DataFrame, shingle: int, text_col: st
 
     def sets(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            own = [np.unique(shingle_hashes(t, shingle)) for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["text_key", "n", "hashes"])
+            for a, b in ranges(batch.column(1)):
+                own = [np.unique(shingle_hashes(t, shingle)) for t in utf8(batch.column(1).slice(a, b - a))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["text_key", "n", "hashes"])
 
     keyed = docs.select(_text_key(text_col).alias("text_key"), F.col(text_col).alias("text")).join(wanted, "text_key", "left_semi")
     return written(keyed.mapInArrow(sets, "text_key long, n long, hashes binary").dropDuplicates(["text_key"]), "shingles")

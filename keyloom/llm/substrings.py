@@ -15,9 +15,9 @@ in the same one.  All windows are judged on the input.
 2. Exact counts.  A second pass over the texts hands on only the windows whose
    cells are all counted twice or more: an overestimate, so no repeated window is
    lost.  Each is its 96-bit hash and its place; a window hash's least place is
-   its first occurrence.  A batch hands on one place for each of its hashes, and
-   the rest is a grouped rank below an exchange, so a window that occurs
-   everywhere is many small rows, not one large group.
+   its first occurrence.  A batch hands on one place for each of its hashes and a
+   partition the least of those, so a window that occurs everywhere is one row for
+   each partition.
 3. Removal.  First occurrences go back to their documents.  A third pass finds
    the windows estimated repeated again and takes away those that are not the
    first: what is left of them covers the words to remove.
@@ -61,8 +61,12 @@ def window_hashes(batch: TextBatch, width: int) -> tuple[np.ndarray, np.ndarray,
     return at, one, two
 
 
-def cells_of(one: np.ndarray, cells: int) -> list[np.ndarray]:
-    return [mixed(one, 7 + row) & np.uint64(cells - 1) for row in range(DEPTH)]
+def cells_of(one: np.ndarray, cells: int, row: int) -> np.ndarray:
+    """The cells of window hashes in one row of the sketch (32 bits are enough for MAX_CELLS)."""
+    out = np.empty(len(one), np.uint32)
+    for at in range(0, len(one), 1 << 16):
+        out[at : at + (1 << 16)] = mixed(one[at : at + (1 << 16)], 7 + row) & np.uint64(cells - 1)
+    return out
 
 
 def coded(sorted_cells: np.ndarray) -> bytes:
@@ -88,14 +92,16 @@ def _sketch_rows(docs: DataFrame, width: int, cells: int) -> DataFrame:
     span = min(cells, CHUNK)
 
     def rows_of(hashes: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for row, found in enumerate(cells_of(np.concatenate(hashes), cells)):
+        for row in range(DEPTH):
+            found = np.concatenate([cells_of(x, cells, row) for x in hashes])
             found.sort()
             first = np.append(True, found[1:] != found[:-1])
             single, twice = found[first], np.unique(found[~first])
-            edges = np.arange(0, cells + span, span, dtype=np.uint64)
-            a, b = np.searchsorted(single, edges), np.searchsorted(twice, edges)
-            kept = [k for k in range(len(edges) - 1) if a[k] < a[k + 1]]
-            low = [np.uint64(k * span) for k in kept]
+            del found, first
+            edges = np.arange(0, cells, span, dtype=np.uint32)
+            a, b = (np.append(np.searchsorted(x, edges), len(x)) for x in (single, twice))
+            kept = [k for k in range(len(edges)) if a[k] < a[k + 1]]
+            low = [np.uint32(k * span) for k in kept]
             yield pa.RecordBatch.from_pydict(
                 {"row": [row] * len(kept), "chunk": kept, "once": [coded(single[a[k] : a[k + 1]] - x) for k, x in zip(kept, low, strict=True)], "again": [coded(twice[b[k] : b[k + 1]] - x) for k, x in zip(kept, low, strict=True)]},
                 schema=pa.schema([("row", pa.int32()), ("chunk", pa.int32()), ("once", pa.binary()), ("again", pa.binary())]),
@@ -179,8 +185,8 @@ class Repeated:
     def __call__(self, one: np.ndarray) -> np.ndarray:
         """Indexes of the windows whose cells are all counted twice or more."""
         left = np.arange(len(one))
-        for row, cells in zip(self.rows, cells_of(one, self.cells), strict=True):
-            cells = cells[left]
+        for number, row in enumerate(self.rows):
+            cells = cells_of(one[left], self.cells, number).astype(np.uint64)
             order = np.argsort(cells)
             cells = cells[order]
             chunks = (cells >> self.shift).astype(np.int64)
@@ -231,7 +237,6 @@ def first_places(keyed: DataFrame, text_col: str, width: int, path: str, cells:
                 yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (one, two, doc, place)], ["one", "two", "doc", "place"])
 
     rows = keyed.select("_keyloom_id", "_keyloom_tie", text_col).mapInArrow(run, "one long, two int, doc long, place long")
-    rows = rows.repartition("one", "two")  # batches have one row for each hash: a second combining would only delay the exchange
     rank = F.row_number().over(Window.partitionBy("one", "two").orderBy("doc", "place"))
     firsts = rows.withColumn("rank", rank).where("rank = 1")
     places = F.collect_list(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int"))
