@@ -1,49 +1,52 @@
 """Operator 8: toxicity by a weighted finite-state grammar over clauses.
 
-Tokens are lower-cased words of letters and clause ends.  Each token has a class:
-insult, harm (a verb of threats), target (the reader or a third person), negation,
-report (a verb of speech), clause end, or other.  Five deterministic transducers
-read and rewrite that tape, one after another:
+Tokens are lower-cased words of letters, commas and clause ends.  Each token has a
+class: insult, harm (a verb of threats), target (the reader or a third person),
+negation, report (a verb of speech), comma, clause end, or other.  Five deterministic
+transducers read and rewrite that tape, one after another:
 
 * negation:  an insult or harm within three tokens after a negation is weakened;
 * report:    the same after a verb of speech, to the end of the clause;
 * target:    an insult within four tokens after a target is a targeted insult;
 * threat:    harm with a target within three tokens after it is a threat;
-* insult:    weighs what is left, and scores nothing else.
+* insult:    lets through what matches, and nothing else.
 
-:func:`compose` makes one machine of them; each insult brings the weight of its
-lexicon entry.  A clause's weight is the sum over its path, so a word counts as
-what it is in its clause.  Clause weights make the document's figures (sum, best,
-number), and a calibrated logistic turns them into a score.
+Commas end the reach of all but reports.  :func:`compose` makes one machine of them;
+each insult brings the weight of its lexicon entry.  So a word counts as what it is in
+its clause: a document's figures are, for each outcome (plain, targeted, weakened,
+threat, ...), the log of the weights that its clauses have of it, and their best clause and
+number.  A logistic turns them into a score: it begins at fixed weights, which order the
+outcomes, and is drawn back to them where the labelled rows say nothing.
 
 Lexicon: a few fixed words, and stems (beginnings of 3 to 10 bytes, or whole words)
-learned from at most ``SAMPLE`` documents of each label: those that cover the toxic
-documents greedily, most uncovered ones first, with high odds against clean ones.
-Near copies (Jaccard similarity of the stems ``COPY`` or more) count once there.
+learned from at most ``SAMPLE`` documents of each label and ``SAMPLE_BYTES`` of their text: those
+that cover the toxic documents greedily, most uncovered ones first, with high odds against
+clean ones.  Near copies (Jaccard similarity of the stems ``COPY`` or more) count once there.
+One task learns from this sample; the model comes to the driver.
 
 Defined results: a null or empty text has the score of no match; without labelled
-rows of both classes the fixed words and a fixed logistic are used; repeated rows
+rows of both classes the fixed words and the fixed logistic are used; repeated rows
 score alike; texts of any length are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .ngrams import adam, sigmoid
-from .quality import labelled
+from .quality import fitted, labelled
 from .shared import with_fields
 from .simhash import band_keys
-from .textbatch import TextBatch, mixed, slices
+from .textbatch import TextBatch, ranges, slices, utf8
 
-SAMPLE, THRESHOLD = 1_500, 0.7
+SAMPLE, SAMPLE_BYTES, THRESHOLD = 1_500, 6 << 20, 0.7
 COPY = 0.8
-OTHER, INSULT, HARM, TARGET, NEGATION, REPORT, END, TARGETED, WEAK, WEAK_HARM, THREAT = range(11)
+OTHER, INSULT, HARM, TARGET, NEGATION, REPORT, COMMA, END, TARGETED, WEAK, WEAK_HARM, THREAT = range(12)
 
 #: Words of each class.
 WORDS = {
@@ -53,17 +56,20 @@ WORDS = {
     NEGATION: "not never no none nobody without hardly isn aren don doesn didn won wouldn pas jamais aucun nicht kein keine nie no nunca tampoco",
     REPORT: "said says say called calls quoted quotes wrote writes told claims claimed accused reported dit disait écrit sagte sagt schrieb dijo dice escribió",
 }
-#: The ends of clauses.
-ENDS = ".!?;:\n"
-#: What the last transducer gives for a class, times the lexicon weight of an insult.
+#: The ends of clauses, and the signs of a comma.
+ENDS, COMMAS = ".!?;:\n…。！？；：؟؛।॥", ",、，،"
+#: Weights of the outcomes in a clause, times the lexicon weight of an insult.
 WEIGHTS = {INSULT: 1.0, TARGETED: 1.3, WEAK: 0.5, HARM: 0.2, WEAK_HARM: 0.05, THREAT: 1.5}
+OUTCOMES = list(WEIGHTS)
+#: Where the logistic begins: each outcome, best clause, number of clauses, bias.
+PRIOR = np.array([1.5, 2.0, 0.4, 0.2, 0.0, 2.5, 1.0, 0.2, -2.0])
 STEMS = range(3, 11)
 WHOLE = 15
 
 
 @dataclass
 class Transducer:
-    """step(state, symbol) -> (state, symbol); the last of a chain gives a weight instead of a symbol."""
+    """step(state, symbol) -> (state, symbol)."""
 
     start: int
     step: Callable
@@ -71,7 +77,7 @@ class Transducer:
 
 def negation() -> Transducer:
     weak = {INSULT: WEAK, TARGETED: WEAK, HARM: WEAK_HARM}
-    return Transducer(0, lambda s, x: (3, x) if x == NEGATION else (0, x) if x == END else (max(0, s - 1), weak.get(x, x) if s else x))
+    return Transducer(0, lambda s, x: (3, x) if x == NEGATION else (0, x) if x in (END, COMMA) else (max(0, s - 1), weak.get(x, x) if s else x))
 
 
 def report() -> Transducer:
@@ -80,25 +86,25 @@ def report() -> Transducer:
 
 
 def target() -> Transducer:
-    return Transducer(0, lambda s, x: (4, x) if x == TARGET else (0, x) if x == END else (max(0, s - 1), TARGETED if s and x == INSULT else x))
+    return Transducer(0, lambda s, x: (4, x) if x == TARGET else (0, x) if x in (END, COMMA) else (max(0, s - 1), TARGETED if s and x == INSULT else x))
 
 
 def threat() -> Transducer:
-    return Transducer(0, lambda s, x: (3, x) if x == HARM else (0, x) if x == END else (0, THREAT) if s and x == TARGET else (max(0, s - 1), x))
+    return Transducer(0, lambda s, x: (3, x) if x == HARM else (0, x) if x in (END, COMMA) else (0, THREAT) if s and x == TARGET else (max(0, s - 1), x))
 
 
 def insult() -> Transducer:
-    return Transducer(0, lambda s, x: (0, WEIGHTS.get(x, 0.0)))
+    return Transducer(0, lambda s, x: (0, x if x in WEIGHTS else OTHER))
 
 
-def compose(*chain: Transducer) -> tuple[list[list[int]], list[list[float]]]:
-    """One machine for the chain: for each of its states and each input class the next state and the weight."""
+def compose(*chain: Transducer) -> tuple[list[list[int]], list[list[int]]]:
+    """One machine for the chain: for each of its states and each input class the next state and what comes out."""
     start = tuple(t.start for t in chain)
     number, states = {start: 0}, [start]
     move: list[list[int]] = []
-    give: list[list[float]] = []
+    give: list[list[int]] = []
     for state in states:  # grows while it is read
-        to, weights = [], []
+        to, out = [], []
         for symbol in range(END + 1):
             after, x = [], symbol
             for t, s in zip(chain, state, strict=True):
@@ -108,9 +114,9 @@ def compose(*chain: Transducer) -> tuple[list[list[int]], list[list[float]]]:
                 number[tuple(after)] = len(states)
                 states.append(tuple(after))
             to.append(number[tuple(after)])
-            weights.append(float(x))
+            out.append(x)
         move.append(to)
-        give.append(weights)
+        give.append(out)
     return move, give
 
 
@@ -120,7 +126,7 @@ GRAMMAR = compose(negation(), report(), target(), threat(), insult())
 class _Signs(dict):
     def __missing__(self, code: int) -> str:
         c = chr(code)
-        self[code] = value = c if c.isalpha() or 0x300 <= code <= 0x36F else f" {ENDS[0]} " if c in ENDS else " "
+        self[code] = value = c if c.isalpha() or 0x300 <= code <= 0x36F else f" {ENDS[0]} " if c in ENDS else f" {COMMAS[0]} " if c in COMMAS else " "
         return value
 
 
@@ -151,17 +157,17 @@ class Model:
 
     keys: np.ndarray
     weights: np.ndarray
-    logistic: np.ndarray = field(default_factory=lambda: np.array([2.0, 1.0, 0.2, -2.0]))
+    logistic: np.ndarray
+    grammar: tuple[list[list[int]], list[list[int]]]
 
     def figures(self, batch: TextBatch) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
-        """For each document (log of the sum, best, log of the number of clauses that match), and those clauses."""
+        """For each document its figures in the order of ``PRIOR``, and the clauses that match: first and last token, weight."""
         n = len(batch.word_starts)
         kind = np.zeros(n, np.int8)
         weight = np.zeros(n)
         hashes = (batch.word_hashes & ~np.uint64(15)) | np.uint64(WHOLE)
         for symbol, keys in _FIXED.items():
             kind[np.isin(hashes, keys)] = symbol
-        kind[np.isin(hashes, _END)] = END
         for _, some, h in stems(batch):
             at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
             hit = self.keys[at] == h
@@ -174,27 +180,27 @@ class Model:
         a = np.maximum(first, np.append(-1, end)[before] + 1)
         b = np.minimum(last, np.append(end, n)[before])
         clauses: list[list[tuple[int, int, float]]] = [[] for _ in range(len(batch))]
-        move, give = GRAMMAR
+        sums = np.zeros((len(batch), THREAT + 1))
+        move, give = self.grammar
         for s, e in sorted(set(zip(a.tolist(), b.tolist(), strict=True))):
-            state, total = 0, 0.0
+            state, total, doc = 0, 0.0, int(batch.word_doc[s])
             for x, w in zip(kind[s:e].tolist(), weight[s:e].tolist(), strict=True):
-                total += give[state][x] * (w if x == INSULT else 1.0)
+                out = give[state][x]
+                if out:
+                    w = w if x == INSULT else 1.0
+                    sums[doc, out] += w
+                    total += WEIGHTS[out] * w
                 state = move[state][x]
-            doc = int(batch.word_doc[s])
             clauses[doc].append((s - int(batch.first_word[doc]), e - 1 - int(batch.first_word[doc]), total))
-        out = np.zeros((len(batch), 3))
-        for i, found in enumerate(clauses):
-            if found:
-                w = [x for _, _, x in found]
-                out[i] = np.log1p(sum(w)), max(w), np.log1p(sum(x >= 0.5 for x in w))
-        return out, clauses
+        best = [max((w for _, _, w in c), default=0.0) for c in clauses]
+        many = [np.log1p(sum(w >= 0.5 for _, _, w in c)) for c in clauses]
+        return np.column_stack([np.log1p(sums[:, OUTCOMES]), best, many]), clauses
 
     def score(self, figures: np.ndarray) -> np.ndarray:
-        return sigmoid(figures @ self.logistic[:3] + self.logistic[3])
+        return sigmoid(figures @ self.logistic[:-1] + self.logistic[-1])
 
 
-_FIXED = {k: whole(v) for k, v in WORDS.items() if k != INSULT}
-_END = whole(ENDS[0])
+_FIXED = {k: whole(v) for k, v in WORDS.items() if k != INSULT} | {END: whole(ENDS[0]), COMMA: whole(COMMAS[0])}
 
 
 def distinct(sets: list[np.ndarray], bands: list[np.ndarray], rows: np.ndarray) -> dict[int, np.ndarray]:
@@ -261,41 +267,45 @@ def lexicon(sets: list[np.ndarray], label: np.ndarray, bands: list[np.ndarray] |
     return np.array(order, np.uint64), np.array([known[k] for k in order])
 
 
-def train(docs: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE, label_col: str = "toxic") -> Model:
-    """Learns stems from the sample, and the logistic with stems from three quarters of it, so that it sees unknown texts."""
-    rows = labelled(docs, labels, label_col, sample, where)
+def stem_sets(texts: list[str]) -> Iterator[np.ndarray]:
+    """The distinct stems of each text."""
+    for a, b in slices([t.encode() for t in texts]):
+        batch, sets = tokens(texts[a:b]), [[] for _ in range(b - a)]
+        for _, some, h in stems(batch):
+            edges = np.searchsorted(batch.word_doc[some], np.arange(b - a + 1))
+            for i, found in enumerate(sets):
+                found.append(np.unique(h[edges[i] : edges[i + 1]]))
+        yield from map(np.concatenate, sets)
 
-    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for record in found:
-            texts = record.column(1).to_pylist()
-            for a, b in slices([t.encode() for t in texts]):
-                batch, sets = tokens(texts[a:b]), [[] for _ in range(b - a)]
-                for _, some, h in stems(batch):
-                    doc = batch.word_doc[some]
-                    pairs = np.searchsorted(doc, np.arange(b - a + 1))
-                    for i in range(b - a):
-                        sets[i].append(np.unique(h[pairs[i] : pairs[i + 1]]))
-                yield pa.RecordBatch.from_arrays([record.column(0).slice(a, b - a), record.column(1).slice(a, b - a), record.column(2).slice(a, b - a), pa.array([np.concatenate(s).tobytes() for s in sets], pa.binary()), pa.array([band_keys(np.concatenate(s)).tobytes() for s in sets], pa.binary())], ["label_id", "text", "label", "stems", "bands"])
-
-    table = rows.mapInArrow(run, "label_id long, text string, label int, stems binary, bands binary").toArrow().sort_by("label_id")  # at most 2 * sample rows
-    label = table.column("label").to_numpy()
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("stems")]
-    bands = [np.frombuffer(x.as_buffer(), np.int64) for x in table.column("bands")]
-    part = mixed(table.column("label_id").to_numpy().view(np.uint64), 9) % np.uint64(4) != 3
-    learn = part if len(set(label[part])) == 2 else np.ones(len(label), bool)
-    model = Model(*lexicon([s for s, x in zip(sets, learn, strict=True) if x], label[learn], [s for s, x in zip(bands, learn, strict=True) if x]))
-    if len(set(label.tolist())) == 2:
-        texts = table.column("text").to_pylist()
-        x = np.concatenate([model.figures(tokens(texts[a:b]))[0] for a, b in slices([t.encode() for t in texts])])
-        y = label.astype(float)
-        weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-
-        def gradient(w):
-            d = (sigmoid(x @ w[:3] + w[3]) - y) * weight
-            return np.append(x.T @ d, d.sum()) + 2e-3 * np.append(w[:3], 0)
-
-        return Model(*lexicon(sets, label, bands), adam(gradient, model.logistic, 800, 0.05))
-    return model
+
+def weighed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The logistic for figures and labels, both labels weighing the same, drawn to ``PRIOR``."""
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+
+    def gradient(w):
+        d = (sigmoid(x @ w[:-1] + w[-1]) - y) * weight
+        return np.append(x.T @ d, d.sum()) + 2e-3 * np.append((w - PRIOR)[:-1], 0)
+
+    return adam(gradient, PRIOR, 800, 0.05)
+
+
+def fit(texts: list[bytes], label: np.ndarray, grammar=GRAMMAR) -> Model:
+    """Learns stems from the texts, and the logistic with stems from three quarters of them, so that it sees unknown texts."""
+    texts = [t.decode("utf-8", "replace") for t in texts]
+    sets = list(stem_sets(texts))
+    bands = [band_keys(s) for s in sets]
+    learn = np.arange(len(texts)) % 4 != 3
+    if len(set(label[learn])) < 2:
+        learn[:] = True
+    rows = np.flatnonzero(learn)
+    part = Model(*lexicon([sets[i] for i in rows], label[rows], [bands[i] for i in rows]), PRIOR, grammar)
+    x = np.concatenate([part.figures(tokens(texts[a:b]))[0] for a, b in slices([t.encode() for t in texts])])
+    return Model(*lexicon(sets, label, bands), weighed(x, label.astype(float)), grammar)
+
+
+def train(docs: DataFrame, labels: DataFrame, where=None, sample: int = SAMPLE, label_col: str = "toxic", sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """The model of the labelled rows; that of the fixed words where they lack one of the labels."""
+    return fitted(labelled(docs, labels, label_col, sample, where), fit, sample_bytes) or Model(*lexicon([], np.zeros(0, int)), PRIOR, GRAMMAR)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
@@ -307,9 +317,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", columns: list[
     def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for record in found:
-            texts = [t or "" for t in record.column(len(names)).to_pylist()]
-            for a, b in slices([t.encode() for t in texts]):
-                figures, clauses = model.figures(tokens(texts[a:b]))
+            for a, b in ranges(record.column(len(names))):
+                texts = utf8(record.column(len(names)).slice(a, b - a))
+                figures, clauses = model.figures(tokens([t.decode("utf-8", "replace") for t in texts]))
                 p = model.score(figures)
                 rows = [[{"first": s, "last": e, "weight": w} for s, e, w in c] for c in clauses]
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in record.columns[:-1]), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32)), pa.array(rows, kind)], [*names, "score", "predicted", "clauses"])

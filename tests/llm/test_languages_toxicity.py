@@ -50,7 +50,7 @@ def test_mixed_and_odd_texts(spark):
     model = languages.train(docs.select("doc_id", "text", "lang").union(russian))
     en, de = (docs.where(f"lang = '{x}'").orderBy("doc_id").first().text for x in ("en", "de"))
     mixed = " ".join(en.split()[:40] + de.split()[:40])
-    odd = [None, "", "123 -- !", mixed, "слова и текст", "слово " + " ".join(en.split()[:60]), "x " * 100_000]
+    odd = [None, "", "१२३ \u0301\u0300 -- !", mixed, "слова и текст", "слово " + " ".join(en.split()[:60]), "x " * 100_000]
     out = languages.predicted(spark.createDataFrame(list(enumerate(odd)), "doc_id int, text string").repartition(2), model).orderBy("doc_id").collect()
     assert [r.lang_pred for r in out[:3]] == ["und"] * 3 and [r.score for r in out[:3]] == [0.0] * 3 and out[0].spans == []
     assert {s.lang for s in out[3].spans} == {"en", "de"} and 0.3 < out[3].score < 0.7
@@ -58,6 +58,8 @@ def test_mixed_and_odd_texts(spark):
     none = languages.train(docs.limit(0))
     assert {r.lang_pred for r in languages.predicted(docs.limit(3), none).collect()} == {"und"}
     assert languages.predicted(docs.limit(0), model).count() == 0
+    again = languages.predicted(docs.limit(3).union(docs.limit(3)).selectExpr("doc_id", "text", "2 AS score", "lang"), model).collect()
+    assert len(again) == 6 and len({(r.doc_id, r.lang_pred, r.score) for r in again}) == len({r.doc_id for r in again})
 
 
 def test_grammar_reads_clauses():
@@ -67,7 +69,7 @@ def test_grammar_reads_clauses():
     def weigh(*classes):
         state, total = 0, 0.0
         for x in classes:
-            total += give[state][x]
+            total += t.WEIGHTS.get(give[state][x], 0.0)
             state = move[state][x]
         return total
 
@@ -75,6 +77,7 @@ def test_grammar_reads_clauses():
     assert weigh(t.TARGET, t.OTHER, t.INSULT) == 1.3
     assert weigh(t.TARGET, t.NEGATION, t.INSULT) == 0.5
     assert weigh(t.REPORT, t.OTHER, t.TARGET, t.INSULT) == 0.5 and weigh(t.REPORT, t.END, t.INSULT) == 1.0
+    assert weigh(t.NEGATION, t.COMMA, t.INSULT) == 1.0 and weigh(t.REPORT, t.COMMA, t.INSULT) == 0.5
     assert weigh(t.HARM, t.TARGET) == pytest.approx(1.7) and weigh(t.HARM, t.OTHER) == 0.2 and weigh(t.NEGATION, t.HARM, t.TARGET) < 0.1
     # the composed machine equals its transducers one after another
     rng = random.Random(1)
@@ -85,7 +88,7 @@ def test_grammar_reads_clauses():
         for x in tape:
             for i, c in enumerate(chain):
                 states[i], x = c.step(states[i], x)
-            total += x
+            total += t.WEIGHTS.get(x, 0.0)
         assert weigh(*tape) == pytest.approx(total)
 
 
@@ -98,6 +101,35 @@ def test_held_out_toxicity(spark):
     assert caught > 0.85 and wrong < 0.03 and len(rows) == 10_000
 
 
+def test_the_grammar_decides_where_clauses_differ():
+    """Insults in both classes: aimed at someone in the one, denied or reported in the other."""
+    rng = random.Random(7)
+    filler = [f"word{i}" for i in range(400)]
+    insults = ["grobnik", "plonker", "wazzock", "numpty"]
+    aimed = ["you are a {}", "they all look like {} people", "your {} face"]
+    other = ["he is not a {}", "nobody is a {}", "she said the man was a {}", "they were told of some {}"]
+
+    def row(ways):
+        clauses = [" ".join(rng.choices(filler, k=8)) for _ in range(6)] + [w.format(rng.choice(insults)) for w in rng.choices(ways, k=3)]
+        rng.shuffle(clauses)
+        return ". ".join(clauses) + "."
+
+    plain = [" ".join(rng.choices(filler, k=60)) for _ in range(400)]
+    texts = [row(aimed) for _ in range(400)] + [row(other) for _ in range(4)] + plain + [row(other) for _ in range(60)]
+    label = np.array([1] * 400 + [0] * (len(texts) - 400))
+    order = rng.sample(range(len(texts)), len(texts))
+    held = [row(aimed) for _ in range(100)] + [row(other) for _ in range(100)]
+    right = {}
+    for name, grammar in (("composed", toxicity.GRAMMAR), ("words alone", toxicity.compose(toxicity.insult()))):
+        model = toxicity.Model(np.sort(toxicity.whole(" ".join(insults))), np.ones(len(insults)), toxicity.PRIOR, grammar)
+        x = model.figures(toxicity.tokens([texts[i] for i in order]))[0]
+        y = label[order].astype(float)
+        model.logistic = toxicity.weighed(x, y)
+        p = model.score(model.figures(toxicity.tokens(held))[0]) >= toxicity.THRESHOLD
+        right[name] = (p[:100].mean() + 1 - p[100:].mean()) / 2
+    assert right["composed"] > 0.95 and right["words alone"] < 0.75
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "you are an idiot. " * 3), (4, "a plain text"), (None, "x " * 100_000)], "doc_id long, text string")
     empty = spark.createDataFrame([], "doc_id long, toxic int")
@@ -106,6 +138,8 @@ def test_toxicity_of_odd_rows(spark):
     assert out[3].predicted == 1 and len(out[3].clauses) == 3 and out[4].predicted == 0
     assert out[1].score == out[2].score == out[4].score == out[None].score
     assert toxicity.scored(docs.limit(0), model).count() == 0
+    again = toxicity.scored(docs.union(docs).selectExpr("doc_id", "text", "1 AS score", "'x' AS clauses"), model)
+    assert again.columns == ["doc_id", "text", "score", "predicted", "clauses"] and again.where("doc_id = 3").select("score").distinct().count() == 1
 
 
 def test_stems_are_found_at_word_starts():
