@@ -2,6 +2,14 @@
 
 A stage takes the session, the documents that its predecessor kept, and the folder
 of the input tables.  All but the last return the columns of ``documents``.
+
+Defined results, of all stages: a null text counts as empty, and stays null where it is
+not changed; a null doc_id is an id of its own that sorts first; texts of any length are
+read whole; ties go to the smaller doc_id, then to the lesser hash of the text; an empty
+table gives no rows; columns beside those of ``documents`` are carried along, one that is
+named like a figure of a stage's operator (``n_words``, ``kept``, ``copy``, ...) with that figure.
+Repeated rows are judged alike by the first stage; of the second at most one of them is
+left; rows that share an id get equal numbers of copies in the mixture.
 """
 
 from __future__ import annotations
