@@ -74,6 +74,39 @@ def test_alignment_equals_whole_table():
         assert matched >= max(best.values()) and 0 <= first < end <= len(words)
 
 
+def test_query_equals_alignment_of_every_template_everywhere(spark):
+    """Brute force: each template against each document at all shifts, without index or pruning."""
+    from keyloom.llm import queries
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    templates = licenses.index()[0]
+    want = []
+    for d, text in docs.items():
+        words = licenses.words_of(text)
+        spans = [m.span() for m in licenses._WORD.finditer(text)]
+        found = []
+        for name, number, template in templates:
+            bag = set(template)
+            starts = [i for i in range(len(words)) if sum(w in bag for w in words[i : i + len(template)]) >= licenses.MIN_COVERAGE * len(template)]
+            for shift in starts:
+                matched, a, b = licenses.align(template, words, shift)
+                if matched >= licenses.MIN_COVERAGE * len(template) and licenses.distinguished(name, template, words[a:b]):
+                    found.append((matched, name, number, matched / len(template), a, b))
+        kept = []
+        for m in sorted(set(found), key=lambda x: (-x[0], -x[3], x[1], x[2])):
+            if not any(m[4] < o[5] and o[4] < m[5] for o in kept):
+                kept.append(m)
+        want += [(d, n, k, m, spans[a][0], spans[b - 1][1]) for m, n, k, c, a, b in kept]
+    got = [(r.doc_id, r.license, r.template, r.matched, r.first_char, r.end_char) for r in queries.op10_license_spans(spark, "/root/testdata/sf0.001").collect()]
+    assert want and sorted(got) == sorted(want)
+
+
+def test_notices_of_other_licenses_are_not_taken_for_these(spark):
+    texts = ["Licensed under the BSD License.", "Licensed under the Elastic License.", "This work is licensed under the GNU General Public License, version 1.", "Licensed under CC BY-ND 4.0.", "Licensed under the Apache License, Version 1.1.", "licensed under the new plan " * 3_600, "without warranty of any kind, express or implied " * 2_000]
+    docs = spark.createDataFrame(list(enumerate(texts + texts)), "doc_id long, license string").withColumnRenamed("license", "text").selectExpr("*", "1 AS coverage")
+    assert licenses.scan(docs).count() == 0
+
+
 def test_every_notice_line_of_the_table_is_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     lines = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
@@ -103,6 +136,26 @@ def test_pipeline_stages(spark):
         assert stage(spark, empty, sf).count() == 0
 
 
+def test_pipeline_stages_over_odd_rows(spark):
+    import random
+
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    one, two, long = text(60), text(50), text(60_000)
+    rows = [(None, None, None, None, None), (10**9, "", "en", "src0", 0), (10**9 + 1, one, "en", "src0", len(one)), (10**9 + 1, one, "en", "src0", len(one)), (10**9 + 2, one, None, None, None), (None, two, "de", "src1", 3), (10**9 + 3, long, "en", "src9", len(long)), (10**9 + 4, "few words", "en", "src0", 9)]
+    docs = spark.createDataFrame([(*r, "x", 7, 8) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, kept string, copy int, n_words int").repartition(3)
+    want = [[(None, two)] + [(10**9 + 1, one)] * 2 + [(10**9 + 2, one), (10**9 + 3, long)], [(None, two), (10**9 + 1, one), (10**9 + 3, long)]]
+    order = lambda x: (x[0] is not None, x[0] or 0)
+    for i, (name, stage) in enumerate(p.STAGES[:-1]):
+        docs = p.written(stage(spark, docs, "/root/testdata/sf0.001"), f"odd-{name}")
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept", "copy", "n_words"]
+        got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=order)
+        assert got == want[min(i, 1)] if i < 3 else set(got) <= set(want[1])
+    assert p.STAGES[-1][1](spark, docs, "").agg({"length": "sum"}).first()[0] != 0
+
+
 @pytest.mark.parametrize("name", ["pipeline", "op1_token_files", "op10_license_spans"])
 def test_entry_has_the_queries(name):
     import __spark_entry__
