@@ -40,6 +40,8 @@ from .textbatch import TextBatch, mixed, ranges, utf8
 
 SAMPLE, MAX_LANGUAGES, SWITCH, BITS = 400, 256, 6.0, 17
 UNKNOWN = "und"
+#: Texts decoded side by side have about so many bytes.
+DECODE_BYTES = 2 << 20
 #: Scripts and the first and last code points of their ranges.
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF), (0xFB00, 0xFB06), (0xFF21, 0xFF5A)],
@@ -236,7 +238,7 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", columns: li
         k = max(1, len(model.languages))
         languages = np.array([*model.languages, UNKNOWN], object)
         for record in found:
-            for a, b in ranges(record.column(len(names))):
+            for a, b in ranges(record.column(len(names)), DECODE_BYTES):
                 n = b - a
                 texts = [t.decode("utf-8", "replace") for t in utf8(record.column(len(names)).slice(a, n))]
                 lang, score = np.full(n, len(model.languages)), np.zeros(n)
