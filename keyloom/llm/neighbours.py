@@ -8,13 +8,17 @@ the weighted normal equations, in turn.
 
 Index.  Every vector gets its codes, two to a byte, and a block.
 
-Search.  Queries meet each block in cells of at most ``CHUNK`` queries and about
-``BLOCK`` vectors.  A query's inner products with the centres are tables of 16; two
-make one of 256 for a byte of codes, and the sum of lookups estimates all inner
-products of the block.  The ``RERANK`` best of each block are computed exactly, in
-double precision from the original vectors; where others' estimates lie within the
-errors seen of the last of the best, as among thousands of near copies, they are
-computed too.  The best of all blocks stay.
+Search.  Queries meet each block in cells of about ``BLOCK`` vectors and ``CHUNK``
+queries.  A query's inner products with the centres are tables of 16; two make one
+of 256 for a byte of codes, and the sum of lookups estimates all inner products of
+the block.  The best of each block (``RERANK``, or one in ``RERANK_SHARE`` of a larger
+block) are computed exactly, in double precision from the original vectors; where
+others' estimates lie within the errors seen of the last of the best, as among
+thousands of near copies, they are computed too.  The best of all blocks stay.
+
+Every query meets every block, so what is shuffled is (queries x blocks + vectors x
+chunks).  The sides of a cell grow with the tables, eightfold at most and within
+``CELL_BYTES`` of doubles, and vectors of floats travel as floats.
 
 Equal vectors are one point of the index with their least ids (one more than are
 asked for), and equal queries are searched once, so a vector that holds a third of
@@ -39,7 +43,9 @@ from pyspark.sql import functions as F
 
 from .shared import cut, written
 
-SAMPLE, BLOCK, CHUNK, RERANK = 8_192, 8_192, 4_096, 160
+SAMPLE, BLOCK, CHUNK, RERANK, RERANK_SHARE = 8_192, 8_192, 4_096, 160, 51
+#: What the vectors of one side of a cell take as doubles at most (about).
+CELL_BYTES = 64 << 20
 CENTRES, ROUNDS, THRESHOLD = 16, 8, 0.2
 
 
@@ -117,6 +123,16 @@ def fit(sample: np.ndarray) -> Quantiser:
     return model
 
 
+def cell_sides(points: int, asked: int, dims: int) -> tuple[int, int]:
+    """About how many vectors and queries a cell has.
+
+    Small tables are cut finely enough to keep many tasks busy, large ones coarsely,
+    so that a vector is sent to fewer cells.
+    """
+    most = max(1, CELL_BYTES // (8 * max(1, dims)))
+    return min(most, max(BLOCK, min(8 * BLOCK, points // 64))), min(most, max(CHUNK, min(8 * CHUNK, asked // 16)))
+
+
 def _matrix(column: pa.ChunkedArray | pa.Array, kind=np.float64) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), -1) if len(column) else np.zeros((0, 0), kind)
@@ -125,27 +141,29 @@ def _matrix(column: pa.ChunkedArray | pa.Array, kind=np.float64) -> np.ndarray:
 def best_in_block(codes: np.ndarray, x: np.ndarray, ids: np.ndarray, q: np.ndarray, model: Quantiser, keep: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each query the rows of the block with the largest exact products among the estimated best, and those."""
     columns = [np.ascontiguousarray(codes[:, b]) for b in range(codes.shape[1])]
+    first = max(RERANK, keep, len(x) // RERANK_SHARE)
     for at in range(0, len(q), 64):
         for query, table in zip(q[at : at + 64], model.tables(q[at : at + 64]), strict=True):
             some = np.arange(len(x))
-            if len(x) > RERANK:
+            if len(x) > first:
                 guess = table[0][columns[0]]
                 for b in range(1, len(columns)):
                     guess += table[b][columns[b]]
-                some = np.argpartition(guess, len(x) - RERANK)[len(x) - RERANK :]
+                some = np.argpartition(guess, len(x) - first)[len(x) - first :]
             exact = x[some] @ query
-            if len(x) > RERANK:  # whatever may still be among the best, by the errors seen so far
-                least = np.partition(exact, RERANK - keep)[RERANK - keep]
+            if len(x) > first:  # whatever may still be among the best, by the errors seen so far
+                least = np.partition(exact, first - keep)[first - keep]
                 more = np.flatnonzero(guess >= least - (exact - guess[some]).max())
-                if len(more) > RERANK:
+                if len(more) > first:
                     some, exact = more, x[more] @ query
             order = np.lexsort((ids[some], -exact))[:keep]
             yield some[order], exact[order]
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """id and v of the rows that take part, once each."""
-    v = F.col(vector_col).cast("array<double>")
+    """id and v of the rows that take part, once each; v has the components as they are, if floats, else as doubles."""
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    v = F.col(vector_col).cast(kind if kind == "array<float>" else "array<double>")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
@@ -165,18 +183,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         return vectors.sparkSession.createDataFrame([], out)
     sample = points.orderBy(F.xxhash64("point"), "point").limit(SAMPLE).select("v").toArrow()
     model = vectors.sparkSession.sparkContext.broadcast(fit(_matrix(sample.column("v"))))
-    blocks = -(-n // BLOCK)
+    queries = rows.where(is_query).join(points.select("v", "point"), "v").select(F.col("id").alias("query_id"), "point")
+    queries = cut(queries)
+    n_asked = queries.select("point").distinct().count()
+    block, chunk = cell_sides(n, n_asked, len(sample.column("v")[0]))
+    blocks, chunks = -(-n // block), max(1, -(-n_asked // chunk))
+    vector = points.schema["v"].dataType.simpleString()
 
     def encode(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             codes = model.value.packed(_matrix(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary())], ["point", "v", "codes"])
 
-    index = points.select("point", "v").mapInArrow(encode, "point long, v array<double>, codes binary").withColumn("block", F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int"))
-    queries = rows.where(is_query).join(points.select("v", "point"), "v").select(F.col("id").alias("query_id"), "point")
-    queries = cut(queries)
+    index = points.select("point", "v").mapInArrow(encode, f"point long, v {vector}, codes binary").withColumn("block", F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int"))
     asked = points.select("point", "v").join(queries.select("point").distinct(), "point", "left_semi")
-    chunks = -(-max(1, n // 20) // CHUNK)
     asked = asked.withColumn("chunk", F.pmod(F.xxhash64("point", F.lit(1)), F.lit(chunks)).cast("int"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     cells = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))) if chunks > 1 else index.withColumn("chunk", F.lit(0))

@@ -55,3 +55,28 @@ def test_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 1.0]), (1, [2.0, 0.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in neighbours.search(df, F.col("id") == 0).collect()] == [(0, 1, 1, 2.0)]
     assert neighbours.search(df.limit(0), F.col("id") == 0).count() == 0
+
+
+def test_many_cells_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 150)
+    monkeypatch.setattr(neighbours, "CHUNK", 20)
+    x = np.random.default_rng(7).normal(size=(1_200, 6)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(3)
+        got = {}
+        for r in neighbours.search(df, F.col("id") % 20 == 0, k=9).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+        want = brute(rows, 9, lambda i: i % 20 == 0)
+        assert {q: sorted(found) for q, found in got.items()} == {q: [(n + 1, i) for n, (i, _) in enumerate(found)] for q, found in want.items()}
+
+
+def test_cells_are_bounded_and_follow_the_tables():
+    assert neighbours.cell_sides(2_000, 100, 64) == (8_192, 4_096)
+    assert neighbours.cell_sides(10_000_000, 500_000, 64) == (65_536, 31_250)
+    assert max(neighbours.cell_sides(10**9, 10**9, 1_024)) * 1_024 * 8 <= neighbours.CELL_BYTES
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(400, 4)), rng.normal(size=(2, 4))
+    model = neighbours.fit(x)  # more asked for than are reranked otherwise
+    for query, (at, _) in zip(q, neighbours.best_in_block(model.packed(x), x, np.arange(400), q, model, 300), strict=True):
+        assert len(at) == 300 and len(set(at) & set(np.argsort(-(x @ query))[:300])) >= 285
