@@ -10,9 +10,12 @@ distinct fingerprints are searched with vantage-point trees: a tree over a
 bounded sample deals them into shards, each fingerprint to one home shard, and
 as a query to every other shard that the triangle inequality does not rule out
 (of two sides of a split only the inner one's border is sent across, as one
-direction finds each pair).  In a shard a second tree of the same kind goes on
-until brute force is cheap.  All pairs are found; a shard hands on only a
-spanning forest of its links, so a dense group of n fingerprints makes n rows.
+direction finds each pair).  A shard with more than ``SPLIT`` rows, as of fingerprints
+too alike for any split or of more than the top tree can tell apart, is dealt into
+blocks, and each pair of blocks is searched in a task, so no task grows with a shard.
+There a second tree of the same kind goes on until brute force is cheap.  All pairs
+are found; a task hands on only a spanning forest of its links, so a dense group of
+n fingerprints makes n rows for each of its blocks.
 Components of the forests come from rounds of joins (:mod:`.components`).
 
 Exact copies share a fingerprint and meet in a grouped count before the search,
@@ -50,6 +53,8 @@ from .textbatch import mixed, ranges, utf8
 NULL_ID = -(1 << 63)
 #: Distinct fingerprints that the top tree is built from at most; a shard takes about SHARD of them.
 SAMPLE, SHARD, LEAF = 32_768, 4_096, 256
+#: Rows (own fingerprints and guests) that a block of a shard has at most (about); a task searches two.
+SPLIT = 16_384
 BANDS, ROWS = 24, 4
 #: Texts, and hashes of their shingle sets, that a block of a group of candidates has at most (about).
 BLOCK, BLOCK_HASHES = 1_024, 1 << 20
@@ -184,7 +189,20 @@ def forest(x: np.ndarray, homes: np.ndarray, guests: np.ndarray, radius: int) ->
     return root
 
 
-def linked(points: DataFrame, radius: int) -> DataFrame:
+def paired(rows: DataFrame, split: int) -> DataFrame:
+    """The rows of each shard as tasks (shard, low, high) of two blocks at most, in which any two rows of a shard meet.
+
+    A shard of up to ``split`` rows is one block and one task.  The counted shards are the leaves of the
+    top tree, fewer than ``SAMPLE``, so they may be broadcast.
+    """
+    blocks = rows.groupBy("shard").agg(F.ceil(F.count("*") / split).cast("int").alias("blocks"))
+    dealt_to = rows.join(F.broadcast(blocks), "shard").withColumn("own", F.pmod(F.xxhash64("fp", F.lit(5)), "blocks").cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (x != F.col("own")) | (F.col("blocks") == 1))
+    dealt_to = dealt_to.withColumn("other", F.explode(others))
+    return dealt_to.select("shard", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp", "home")
+
+
+def linked(points: DataFrame, radius: int, split: int = SPLIT) -> DataFrame:
     """Links (a, b) of distinct fingerprints (fp) whose components are those of all pairs within the radius."""
     n = points.count()
     sample = np.array([r[0] for r in points.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64).view(np.uint64)
@@ -204,7 +222,8 @@ def linked(points: DataFrame, radius: int) -> DataFrame:
         other = np.flatnonzero(root != np.arange(len(x)))
         return pa.table({"a": x[other].view(np.int64), "b": x[root[other]].view(np.int64)})
 
-    return points.mapInArrow(deal, "shard long, fp long, home boolean").groupBy("shard").applyInArrow(search, "a long, b long")
+    rows = written(points.mapInArrow(deal, "shard long, fp long, home boolean"), "shards")
+    return paired(rows, split).groupBy("shard", "low", "high").applyInArrow(search, "a long, b long")
 
 
 def near_groups(docs: DataFrame, radius: int = 3, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

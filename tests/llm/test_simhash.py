@@ -165,3 +165,30 @@ def test_links_of_a_boilerplate_family_equal_brute_force(spark, monkeypatch):
     for block in (1_024, 50):
         monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
         assert sorted(r.doc_id for r in simhash.keep_one(docs, radius=0).collect()) == list(range(0, n, 2))
+
+
+@pytest.mark.parametrize("split", [16_384, 300, 60])
+def test_shards_dealt_into_blocks_lose_no_link(spark, split):
+    """A ball of fingerprints that no tree can split, and strangers: the components are those of all pairs."""
+    rng = random.Random(11)
+    centre = rng.getrandbits(64)
+    points = {centre ^ (1 << i) ^ (1 << j) ^ (1 << k) for i, j, k in (rng.sample(range(64), 3) for _ in range(700))}
+    points |= {rng.getrandbits(64) for _ in range(300)}
+    signed = [p - (1 << 64) if p >> 63 else p for p in sorted(points)]
+    rows = spark.createDataFrame([(p,) for p in signed], "fp long").repartition(3)
+    links = [(r.a, r.b) for r in simhash.linked(rows, 2, split).collect()]
+    prints = [(p, p % (1 << 64)) for p in signed]
+    label = {p: p for p in signed}
+    for _ in range(len(signed)):
+        before = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            break
+    assert [label[p] for p in signed] == brute_groups(prints, 2)
+
+
+def test_tasks_of_a_split_shard_are_bounded(spark):
+    rows = spark.range(5_000).selectExpr("0L AS shard", "xxhash64(id) AS fp", "id % 3 > 0 AS home")
+    sizes = simhash.paired(rows, 500).groupBy("shard", "low", "high").count().collect()
+    assert len(sizes) == 45 and max(r["count"] for r in sizes) < 1_300
