@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import with_fields
+from .shared import in_batches, with_fields
 from .textbatch import TextBatch, mixed, ranges, utf8
 
 SAMPLE, MAX_LANGUAGES, SWITCH, BITS = 400, 256, 6.0, 17
@@ -208,7 +208,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, lang_col: str = "lang", id_col:
                     slots, n = np.unique(np.concatenate([w.grams[: len(inside)][inside], w.whole + edges[1], w.script + edges[2]]), return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(slots.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "slot", "n"])
 
-    counted = sampled(rows, sample).select("lang", "text").mapInArrow(run, "lang string, slot int, n long")
+    counted = in_batches(sampled(rows, sample).select("lang", "text"), run, "lang string, slot int, n long")
     found = counted.groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # at most MAX_LANGUAGES * edges[-1] rows
     names = sorted(set(found.column("lang").to_pylist()))
     table = np.zeros((edges[-1], len(names)))
@@ -257,4 +257,4 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text", columns: li
                 yield pa.RecordBatch.from_arrays([*(c.slice(a, n) for c in record.columns[:-1]), pa.array(languages[lang], pa.string()), pa.array(score), pa.array(spans, kind)], [*names, "lang_pred", "score", "spans"])
 
     rows = docs.select(*(docs[f"`{c}`"] for c in names), docs[f"`{text_col}`"].alias("_keyloom_text"))
-    return rows.mapInArrow(run, with_fields(docs, names, "lang_pred string, score double, spans array<struct<lang:string,first:int,last:int>>"))
+    return in_batches(rows, run, with_fields(docs, names, "lang_pred string, score double, spans array<struct<lang:string,first:int,last:int>>"))

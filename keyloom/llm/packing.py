@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .encoding import Encoder
+from .shared import in_batches
 from .textbatch import ranges, utf8
 
 POOL = 2048
@@ -176,4 +177,4 @@ def pack(
         if out:
             yield flush()
 
-    return rows.mapInArrow(run, SCHEMA)
+    return in_batches(rows, run, SCHEMA)

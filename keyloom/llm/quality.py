@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import Logistic, fit
-from .shared import with_fields
+from .shared import in_batches, with_fields
 from .textbatch import SPACE, TextBatch, batches, mixed, ranges, rolling, utf8
 
 REPEAT, MIN_WORDS, MAX_REPEATED = 8, 20, 30
@@ -111,7 +111,7 @@ def fitted(rows: DataFrame, fit: Callable[[list[bytes], np.ndarray], object], mo
             yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(fit(texts, np.array(label)))]}, schema=pa.schema([("model", pa.binary())]))
 
     dealt = rows.repartition(1).sortWithinPartitions(F.xxhash64("label_id", F.lit(9)), "label_id")  # the bounded sample
-    model = dealt.select("text", "label").mapInArrow(run, "model binary").collect()
+    model = in_batches(dealt.select("text", "label"), run, "model binary").collect()
     return pickle.loads(model[0]["model"]) if model else None
 
 
@@ -143,4 +143,4 @@ def scored(docs: DataFrame, model: Logistic | None, text_col: str = "text", thre
 
     kept = docs.select(*(docs[f"`{c}`"] for c in names), docs[f"`{text_col}`"].alias("_keyloom_text"))
     figures_added = ", ".join(f"{k} long" for k in FIGURES)
-    return kept.mapInArrow(run, with_fields(docs, names, f"{figures_added}, base_failed boolean, quality double, kept boolean"))
+    return in_batches(kept, run, with_fields(docs, names, f"{figures_added}, base_failed boolean, quality double, kept boolean"))

@@ -6,11 +6,17 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+#: Bytes of a record batch of texts, above which it is handed to Python.
+BATCH = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,6 +66,14 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_batches(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``rows.mapInArrow(run, schema)``, whose record batches end at about ``BATCH`` bytes unless the session sets a bound of its own."""
+    conf = rows.sparkSession.conf
+    if conf.get(_BATCH_KEY, None) is None:
+        conf.set(_BATCH_KEY, BATCH)
+    return rows.mapInArrow(run, schema)
+
+
 def with_fields(df: DataFrame, columns: list[str], added: str) -> StructType:
     """The schema of some columns of a table and of added ones ("name type, ...")."""
     return StructType([*df.select(*(df[f"`{c}`"] for c in columns)).schema, *StructType.fromDDL(added)])

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import cut, written
+from .shared import cut, in_batches, written
 from .textbatch import mixed, ranges, utf8
 
 NULL_ID = -(1 << 63)
@@ -112,7 +112,7 @@ def fingerprints(docs: DataFrame, shingle: int = 5, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "fp", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key"))
-    return rows.mapInArrow(run, "doc_id long, text_key long, fp long, bands array<long>")
+    return in_batches(rows, run, "doc_id long, text_key long, fp long, bands array<long>")
 
 
 def _text_key(text_col: str) -> Column:
@@ -252,7 +252,7 @@ def shingle_sets(docs: DataFrame, buckets: DataFrame, shingle: int, text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["text_key", "n", "hashes"])
 
     keyed = docs.select(_text_key(text_col).alias("text_key"), F.col(text_col).alias("text")).join(wanted, "text_key", "left_semi")
-    return written(keyed.mapInArrow(sets, "text_key long, n long, hashes binary").dropDuplicates(["text_key"]), "shingles")
+    return written(in_batches(keyed, sets, "text_key long, n long, hashes binary").dropDuplicates(["text_key"]), "shingles")
 
 
 def similar(buckets: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
@@ -270,7 +270,7 @@ def similar(buckets: DataFrame, hashes: DataFrame, similarity: float) -> DataFra
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     x, y = hashes.select("text_key", "hashes").toDF("a", "x"), hashes.select("text_key", "hashes").toDF("b", "y")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return in_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), compare, "a long, b long")
 
 
 def joined_sets(sets: list[np.ndarray], root: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:

@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import filesystem, new_folder
+from .shared import filesystem, in_batches, new_folder
 from .textbatch import TextBatch, batches, mixed, rolling
 
 DEPTH = 2
@@ -120,7 +120,7 @@ def _sketch_rows(docs: DataFrame, width: int, cells: int) -> DataFrame:
         if n:
             yield from rows_of(held)
 
-    return docs.select("text").mapInArrow(run, "row int, chunk int, once binary, again binary")
+    return in_batches(docs.select("text"), run, "row int, chunk int, once binary, again binary")
 
 
 def repeated_cells(docs: DataFrame, width: int, cells: int) -> str:
@@ -152,7 +152,7 @@ def repeated_cells(docs: DataFrame, width: int, cells: int) -> str:
             yield pa.RecordBatch.from_pydict({"done": [1]}, schema=pa.schema([("done", pa.int32())]))
 
     rows = _sketch_rows(docs, width, cells)
-    rows.repartition("row", "chunk").sortWithinPartitions("row", "chunk").mapInArrow(merge, "done int").agg(F.count("*")).collect()
+    in_batches(rows.repartition("row", "chunk").sortWithinPartitions("row", "chunk"), merge, "done int").agg(F.count("*")).collect()
     return path
 
 
@@ -236,7 +236,7 @@ def first_places(keyed: DataFrame, text_col: str, width: int, path: str, cells:
                 first = np.append(True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])) if len(one) else np.zeros(0, bool)
                 yield pa.RecordBatch.from_arrays([pa.array(x[first]) for x in (one, two, doc, place)], ["one", "two", "doc", "place"])
 
-    rows = keyed.select("_keyloom_id", "_keyloom_tie", text_col).mapInArrow(run, "one long, two int, doc long, place long")
+    rows = in_batches(keyed.select("_keyloom_id", "_keyloom_tie", text_col), run, "one long, two int, doc long, place long")
     rank = F.row_number().over(Window.partitionBy("one", "two").orderBy("doc", "place"))
     firsts = rows.withColumn("rank", rank).where("rank = 1")
     places = F.collect_list(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int"))
@@ -294,4 +294,4 @@ def remove(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(batch.n_words), pa.array(lost)], [*names, "n_words", "n_removed"])
 
     schema = joined.select(*(joined[f"`{c}`"] for c in names), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed")).schema
-    return joined.mapInArrow(run, schema)
+    return in_batches(joined, run, schema)

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .encoding import Encoder
-from .shared import filesystem
+from .shared import filesystem, in_batches
 from .textbatch import ranges, utf8
 
 NULL_ID = -(1 << 63)
@@ -85,7 +85,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
         _put(system, local, f"{k}.docs", iter([np.concatenate(ids).astype("<i8").tobytes()]))
         yield pa.RecordBatch.from_pydict({"shard": [k], "docs": [len(sizes)], "ids": [int(offsets[-1])], "width": [encoder.dtype.itemsize]})
 
-    counts = sorted(rows.mapInArrow(shard, "shard long, docs long, ids long, width long").collect())  # a line for each partition
+    counts = sorted(in_batches(rows, shard, "shard long, docs long, ids long, width long").collect())  # a line for each partition
     base, shards = 0, []
     for k, n_docs, n_ids, _ in counts:
         shards.append({"shard": k, "docs": n_docs, "ids": n_ids, "base": base})

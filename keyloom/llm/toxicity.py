@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 
 from .ngrams import adam, sigmoid
 from .quality import fitted, labelled
-from .shared import with_fields
+from .shared import in_batches, with_fields
 from .simhash import band_keys
 from .textbatch import TextBatch, ranges, slices, utf8
 
@@ -326,4 +326,4 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", columns: list[
 
     rows = docs.select(*(docs[f"`{c}`"] for c in names), docs[f"`{text_col}`"].alias("_keyloom_text"))
     added = "score double, predicted int, clauses array<struct<first:int,last:int,weight:double>>"
-    return rows.mapInArrow(run, with_fields(docs, names, added))
+    return in_batches(rows, run, with_fields(docs, names, added))

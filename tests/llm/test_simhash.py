@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -192,3 +193,17 @@ def test_tasks_of_a_split_shard_are_bounded(spark):
     rows = spark.range(5_000).selectExpr("0L AS shard", "xxhash64(id) AS fp", "id % 3 > 0 AS home")
     sizes = simhash.paired(rows, 500).groupBy("shard", "low", "high").count().collect()
     assert len(sizes) == 45 and max(r["count"] for r in sizes) < 1_300
+
+
+def test_batches_of_long_texts_end_by_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from keyloom.llm.shared import in_batches
+
+    def run(found):
+        for batch in found:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows]})
+
+    texts = spark.range(0, 400, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    got = [r.rows for r in in_batches(texts, run, "rows long").collect()]
+    assert sum(got) == 400 and max(got) < 100
